@@ -80,16 +80,23 @@ def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
     out = np.zeros(int(offsets[-1]), np.uint8)
     order = np.argsort(-steps, kind="stable")
     at, to, left = starts[order], offsets[order], steps[order]
+    moves = _CHAR[flat]
     keys = (mix64(np.arange(int(steps.max(initial=0)), dtype=np.uint64) * GOLD + np.uint64(9)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    done = 0
+    trace, drawn, done = np.empty((DROP_EVERY, len(at)), np.int64), np.empty(len(at), np.uint32), 0
     while len(at) and left[0] > done:
         alive = int(np.searchsorted(-left, -done, side="left"))
-        at, to, left = at[:alive], to[:alive], left[:alive]
-        until = min(done + DROP_EVERY, int(left[-1])) if left[-1] > done else done + 1
+        if alive < len(at):
+            at, to, left = at[:alive], to[:alive], left[:alive]
+            trace, drawn = np.empty((DROP_EVERY, alive), np.int64), drawn[:alive]
+        until = min(done + DROP_EVERY, int(left[-1]))
         for j in range(done, until):
-            out[to] = symbol[at]
-            at += (_CHAR[flat[at]] * keys[j]) >> np.uint32(31)
-            to += 1
+            trace[j - done] = at
+            np.take(moves, at, out=drawn, mode="clip")
+            np.multiply(drawn, keys[j], out=drawn)
+            np.right_shift(drawn, 31, out=drawn)
+            np.add(at, drawn, out=at)
+        n = until - done
+        out[to[:, None] + np.arange(done, until)] = symbol[trace[:n].T]
         done = until
     return [out[a:b] for a, b in zip(offsets, offsets[1:])]
 

@@ -7,15 +7,17 @@ half a word.  A document's first word is scored as ``c(w) / N``.
 
 The count tables are partitioned by hash.  A task explodes its documents into
 n-grams, counts them per document and packs the rows of each hash partition as
-sorted, compressed columns, so that a count row moves as a few bytes:
-
-1. (u, w, document, count) go to the partition of hash(u w), where they meet all
-   other rows of that bigram.  Known bigrams add ``count * ln c(u w)`` to their
-   document and ask for the unigram u; the others ask for the unigram w.
-2. The requests, the documents' own word counts and all word counts go to the
-   partition of (hash(w), document mod SALTS).  Word counts are copied to all
-   salts, so a word that every document holds is spread over them.
-3. Each document's parts are summed.
+sorted, dictionary-coded, compressed columns, so that a count row moves as a few
+bytes:
+
+1. Word counts go to the partition of hash(w) and are summed.  Words that make
+   up at least ``HOT`` of the corpus - at most 1 / HOT of them - are known to
+   every task from here on.
+2. (u, w, document, counts) go to the partition of hash(u w), where they meet all
+   rows of that bigram; the rows of a hot bigram are dealt over several, with its
+   count for each.  Known bigrams ask for the unigram u, the others for w.
+3. Requests for words that aren't hot go to the partition of hash(w).
+4. Each document's parts are summed.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, partitions
 
-ALPHA, UNSEEN, SALTS = 0.4, 0.5, 4
+ALPHA, UNSEEN, HOT = 0.4, 0.5, 1 / 4000
 #: Words that a task gathers before it packs their rows.
-CHUNK_WORDS = 700_000
+CHUNK_WORDS = 2_000_000
 MEMO = 400_000
 NULL_ID = -(2**63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,122 +60,259 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(u * GOLD + w)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions as ranges of the hash, so that rows sorted by hash are sorted by partition."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, byte planes of their differences compressed together."""
-    parts = [np.int64(len(columns[0])).tobytes(), bytes([len(columns)])]
+    """Columns, each with its length: byte planes of the values, or of their differences if they rise, compressed together."""
+    parts = [bytes([len(columns)])]
     for c in columns:
-        x = c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)
-        d = np.diff(x, prepend=np.int64(0))
-        parts.append(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        x = c if c.dtype == np.int64 else c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)
+        rises = len(c) > 1 and bool((c[1:] >= c[:-1]).all())
+        d = np.diff(x, prepend=np.int64(0)) if rises else x
+        parts += [np.array([len(c), rises], np.int64).tobytes(), np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, k = int(np.frombuffer(raw, np.int64, 1)[0]), raw[8]
-    out = []
-    for i in range(k):
-        planes = np.frombuffer(raw, np.uint8, n * 8, 9 + i * n * 8).reshape(8, n)
-        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel(), dtype=np.int64))
+    at, out = 1, []
+    for _ in range(raw[0]):
+        n, rises = np.frombuffer(raw, np.int64, 2, at).tolist()
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8, at + 16).reshape(8, n).T).view(np.int64).ravel()
+        out.append(np.cumsum(x, dtype=np.int64) if rises else x)
+        at += 16 + 8 * n
     return out
 
 
-def by_part(part: np.ndarray, order: tuple, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """One packed row per partition, its rows sorted by ``order`` (least significant first)."""
-    o = np.lexsort((*order, part))
-    columns = [c[o] for c in columns]
-    p = part[o]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]]) if len(p) else np.zeros(1, int)
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(p[a]), pack(*[c[a:b] for c in columns])
+def local_codes(codes: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which of the codes below ``size`` occur, and the codes renumbered among those."""
+    seen = np.zeros(size, bool)
+    for c in codes:
+        seen[c] = True
+    number = np.cumsum(seen) - 1
+    return np.flatnonzero(seen), [number[c] for c in codes]
+
+
+def pack_rows(names: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], doc: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Rows of word hashes, document and numbers; words and documents as codes of two dictionaries of their own."""
+    used, codes = local_codes(codes, len(names))
+    docs, (doc,) = local_codes([doc], len(ids))
+    return pack(names[used], ids[docs], *codes, doc, *rest)
+
+
+def unpack_rows(blob: bytes, words_: int) -> list[np.ndarray]:
+    known, ids, *columns = unpack(blob)
+    known = known.view(np.uint64)
+    return [*[known[c] for c in columns[:words_]], ids[columns[words_]], *columns[words_ + 1 :]]
 
 
-def count_rows(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows over ``columns`` and their summed weights."""
-    if not len(weight):
-        return columns, weight
-    o = np.lexsort(columns[::-1])
-    columns = [c[o] for c in columns]
-    new = np.ones(len(o), bool)
+def gathered(blobs, words_: int) -> list[np.ndarray]:
+    parts = [unpack_rows(b, words_) for b in blobs]
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new row begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(weight[o], at)
+    return np.flatnonzero(new)
 
 
-def word_part(w: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
-    spread = max(1, parts // SALTS)
-    return (mix64(w) % np.uint64(spread)).astype(np.int64) * SALTS + salt
+def totals(values: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows over ``columns``, sorted, and their summed values."""
+    if not len(values):
+        return list(columns), values
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = runs(*columns)
+    return [c[at] for c in columns], np.add.reduceat(values[order], at)
 
 
-def salt_of(doc: np.ndarray) -> np.ndarray:
-    return (mix64(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+def cuts(part: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+    return [(int(a), int(b)) for a, b in zip(ends, ends[1:])]
 
 
 PACKED = "kind int, part int, blob binary"
-BIGRAM, OWN, WORD, ASK, SUMS = 0, 1, 2, 3, 4
-
-
-def explode(parts: int, bigrams: bool):
-    """(kind, part, blob) rows: either bigrams by document, or words by document and words."""
-
-    def rows(docs: list[int], seqs: list[list[bytes]]) -> pd.DataFrame:
-        if len(_words) > MEMO:
-            _words.clear()
-        h = np.array([_words[w] for s in seqs for w in s], np.uint64)
-        lengths = np.array([len(s) for s in seqs])
-        d = np.repeat(np.array(docs, np.int64), lengths)
-        if bigrams:
-            before = np.concatenate([[np.uint64(0)], h[:-1]]).astype(np.uint64)
-            before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0  # a first word has no history
-            (u, w, bd), c = count_rows([before, h, d], np.ones(len(h), np.int64))
-            out = [(BIGRAM, p, b) for p, b in by_part((pair_key(u, w) % np.uint64(parts)).astype(np.int64), (bd, w, u), u, w, bd, c)]
-            return pd.DataFrame(out, columns=["kind", "part", "blob"])
-        (ow, od), oc = count_rows([h, d], np.ones(len(h), np.int64))
-        out = [(OWN, p, b) for p, b in by_part(word_part(ow, salt_of(od), parts), (od, ow), ow, od, oc)]
-        (ww,), wc = count_rows([ow], oc)
-        for salt in range(SALTS):
-            out += [(WORD, p, b) for p, b in by_part(word_part(ww, np.int64(salt), parts), (ww,), ww, wc)]
-        return pd.DataFrame(out, columns=["kind", "part", "blob"])
+BIGRAM, WORD, ASK, SUMS, TOTAL = 0, 1, 2, 3, 4
+#: Partitions over which a hot bigram's rows are dealt.
+SALTS = 16
+
+
+class Known:
+    """Counts of the hot words or bigrams, by sorted hash."""
+
+    def __init__(self, rows: list[tuple[int, int]]) -> None:
+        self.hash = np.array(sorted(h for h, _ in rows), np.int64).view(np.uint64)
+        order = np.argsort(self.hash)
+        by = dict(rows)
+        self.hash = self.hash[order]
+        self.count = np.array([by[int(h)] for h in self.hash.view(np.int64)], np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are hot, and their counts (0 for the others)."""
+        if not len(self.hash):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        hot = self.hash[at] == h
+        return hot, np.where(hot, self.count[at], 0)
+
+
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, words per document, word hashes) of about CHUNK_WORDS words at a time."""
+    docs, hashes, n = [], [], 0
+
+    def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(docs, np.int64), np.array([len(h) for h in hashes]), np.concatenate(hashes)
+
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"], batch["text"]):
+            if s := words(text if isinstance(text, str) else None):
+                if len(_words) > MEMO:
+                    _words.clear()
+                docs.append(NULL_ID if pd.isna(doc) else int(doc))
+                hashes.append(np.array([_words[w] for w in s], np.uint64))
+                n += len(s)
+            if n >= CHUNK_WORDS:
+                yield close()
+                docs, hashes, n = [], [], 0
+    if n:
+        yield close()
+
+
+def count_words(parts: int):
+    """Word counts by partition, and the bigrams that are frequent in this task's words (kind SUMS).
+
+    A bigram with a share of HOT in the corpus has one of HOT / 2 in tasks that hold half of its rows or more.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, seqs, n = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                s = words(text if isinstance(text, str) else None)
-                if s:
-                    docs.append(NULL_ID if pd.isna(doc) else int(doc))
-                    seqs.append(s)
-                    n += len(s)
-                if n >= CHUNK_WORDS:
-                    yield rows(docs, seqs)
-                    docs, seqs, n = [], [], 0
-        if n:
-            yield rows(docs, seqs)
+        for _, lengths, h in chunks(batches):
+            w, code, n = np.unique(h, return_inverse=True, return_counts=True)
+            p = part_of(w, parts)
+            out = [(WORD, int(p[a]), pack(w[a:b], n[a:b])) for a, b in cuts(p)]
+            often = (n >= len(h) * HOT / 2)[code]
+            both = np.flatnonzero(often & (histories(lengths, h) != 0))
+            both = both[often[both - 1]]
+            k, n = np.unique(pair_key(h[both - 1], h[both]), return_counts=True)
+            k, n = k[n >= len(h) * HOT / 2], n[n >= len(h) * HOT / 2]
+            p = part_of(k, parts)
+            out += [(SUMS, int(p[a]), pack(k[a:b], n[a:b])) for a, b in cuts(p)]
+            yield pd.DataFrame(out, columns=["kind", "part", "blob"])
 
     return run
 
 
-def gathered(blobs) -> list[np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    return [np.concatenate(c) for c in zip(*parts)]
+def sum_words(group: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for kind in (WORD, SUMS):
+        opened = [unpack(b) for b in group["blob"][group["kind"] == kind]]
+        if opened:
+            (w,), n = totals(np.concatenate([c for _, c in opened]), np.concatenate([w for w, _ in opened]).view(np.uint64))
+            out.append((kind, int(group["part"].iat[0]), pack(w, n)))
+    return pd.DataFrame(out, columns=["kind", "part", "blob"])
+
+
+def histories(lengths: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 before a document's first."""
+    u = np.concatenate([[np.uint64(0)], h[:-1]]).astype(np.uint64)
+    u[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
+    return u
+
 
+def explode(parts: int, pairs: Known):
+    """Bigram rows by partition.
 
-def match_bigrams(parts: int):
-    """One partition's bigrams: requests for unigrams, and sums by document."""
+    The rows of a hot bigram are dealt by document over SALTS partitions, and each of those gets the task's count of it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for docs, lengths, h in chunks(batches):
+            names, code = np.unique(h, return_inverse=True)
+            size = len(names)
+            d = np.repeat(np.arange(len(docs)), lengths)
+            first = np.zeros(len(h), bool)
+            first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
+            # own counts of each word in its document
+            _, back, times = np.unique(d * size + code, return_inverse=True, return_counts=True)
+            own = times[back]
+            del back
+            key = pair_key(histories(lengths, h), h)
+            p = part_of(key, parts)
+            hot = pairs.find(key)[0] & ~first
+            out = []
+            if hot.any():
+                k, n = np.unique(key[hot], return_counts=True)
+                at = part_of(k, parts)
+                for salt in range(min(SALTS, parts)):
+                    q = (at + salt) % parts
+                    out += [(TOTAL, int(x), pack(k[q == x], n[q == x])) for x in np.unique(q)]
+                p = np.where(hot, (p + d % min(SALTS, parts)) % parts, p)
+            u = np.where(first, size, np.concatenate([[0], code[:-1]]))
+            order = np.lexsort((code, u, p)) if parts * (size + 1) ** 2 >= 2**62 else np.argsort((p * (size + 1) + u) * (size + 1) + code, kind="stable")
+            p, u, w, d, own_w = p[order], u[order], code[order], d[order], own[order]
+            own_u = np.where(first, 0, np.concatenate([[0], own[:-1]]))[order]
+            at = runs(u, w, d)
+            c = np.diff(np.append(at, len(u)))
+            p, u, w, d, own_u, own_w = (x[at] for x in (p, u, w, d, own_u, own_w))
+            # a document's first word has no history: the hash 0
+            known = np.append(names, np.uint64(0))
+            for a, b in cuts(p):
+                out.append((BIGRAM, int(p[a]), pack_rows(known, docs, [u[a:b], w[a:b]], d[a:b], c[a:b], own_u[a:b], own_w[a:b])))
+            yield pd.DataFrame(out, columns=["kind", "part", "blob"])
+
+    return run
+
+
+def match_bigrams(parts: int, hot: Known):
+    """One partition's bigrams: sums by document, and requests for words that aren't hot."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        u, w, d, c = gathered(group["blob"])
-        (u, w, d), c = count_rows([u, w, d], c)
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        others = np.add.reduceat(c, np.flatnonzero(new))[np.cumsum(new) - 1] - c
+        kind = group["kind"].to_numpy()
+        if not (kind == BIGRAM).any():
+            return pd.DataFrame({"kind": [], "part": [], "blob": []})
+        u, w, d, c, own_u, own_w = gathered(group["blob"][kind == BIGRAM], 2)
+        key = pair_key(u, w)
+        order = np.argsort(key, kind="stable")
+        at = runs(key[order])
+        everywhere = np.empty(len(key), np.int64)
+        everywhere[order] = np.repeat(np.add.reduceat(c[order], at), np.diff(np.append(at, len(key))))
+        del order
+        if (kind == TOTAL).any():
+            opened = [unpack(b) for b in group["blob"][kind == TOTAL]]
+            (k,), n = totals(np.concatenate([n for _, n in opened]), np.concatenate([k for k, _ in opened]).view(np.uint64))
+            dealt, n = Known(list(zip(k.view(np.int64).tolist(), n.tolist()))).find(key)
+            everywhere = np.where(dealt & (u != 0), n, everywhere)
+        others = everywhere - c
         first = u == 0
         known = (others > 0) & ~first
-        (docs,), log = count_rows([d], np.where(known, c * np.log(np.maximum(others, 1)), np.where(first, 0.0, c * math.log(ALPHA))))
-        sums = pack(docs, log.view(np.int64))
-        (aw, ad, ak), ac = count_rows([np.where(known, u, w), d, np.where(known, 0, 1)], c)
-        out = [(ASK, p, b) for p, b in by_part(word_part(aw.view(np.uint64), salt_of(ad), parts), (ad, aw), aw, ad, ak, ac)]
-        return pd.DataFrame([*out, (SUMS, int(group["part"].iat[0]), sums)], columns=["kind", "part", "blob"])
+        ids, doc = np.unique(d, return_inverse=True)
+        asked, own, coef = np.where(known, u, w), np.where(known, own_u, own_w), np.where(known, -c, c)
+        is_hot, total = hot.find(asked)
+        rest = total - own
+        log = np.where(known, c * np.log(np.maximum(others, 1)), np.where(first, 0.0, c * math.log(ALPHA)))
+        log += np.where(is_hot, coef * np.log(np.where(rest > 0, rest, UNSEEN)), 0.0)
+        add = lambda x: np.bincount(doc, x, len(ids))
+        whole = [add(x).astype(np.int64) for x in (np.where(known, c, 0), c, np.where(is_hot & ~known & (rest <= 0), c, 0))]
+        out = [(SUMS, int(group["part"].iat[0]), pack(ids, add(log).view(np.int64), *whole))]
+        a = np.flatnonzero(~is_hot)
+        if len(a):
+            asked, doc, own, coef = asked[a], doc[a], own[a], coef[a]
+            names, code = np.unique(asked, return_inverse=True)
+            by = code * len(ids) + doc  # sorted by the words' hashes, and so by partition
+            order = np.argsort(by, kind="stable")
+            at = runs(by[order])
+            coef = np.add.reduceat(coef[order], at)
+            row = order[at]
+            code, doc, own = code[row], doc[row], own[row]
+            keep = coef != 0
+            code, doc, own, coef = code[keep], doc[keep], own[keep], coef[keep]
+            p = part_of(names[code], parts)
+            out += [(ASK, int(p[i]), pack_rows(names, ids, [code[i:j]], doc[i:j], own[i:j], coef[i:j])) for i, j in cuts(p)]
+        return pd.DataFrame(out, columns=["kind", "part", "blob"])
 
     return run
 
@@ -181,52 +320,55 @@ def match_bigrams(parts: int):
 def match_words(group: pd.DataFrame) -> pd.DataFrame:
     """One partition's requests against its word counts: sums by document."""
     kind = group["kind"].to_numpy()
-    opened = [unpack(b) for b in group["blob"][kind == SUMS]]
-    passed = [pd.DataFrame({"doc_id": d, "log": log.view(np.float64), "hits": 0, "words": 0, "unseen": 0}) for d, log in opened]
-    if not (kind == ASK).any():
-        return pd.concat([pd.DataFrame({"doc_id": [], "log": [], "hits": [], "words": [], "unseen": []}), *passed])
-    w, n = gathered(group["blob"][kind == WORD])
-    (w,), n = count_rows([w], n)
-    ow, od, oc = gathered(group["blob"][kind == OWN])
-    (ow, od), oc = count_rows([ow, od], oc)
-    aw, ad, ak, ac = gathered(group["blob"][kind == ASK])
-    (aw, ad, ak), ac = count_rows([aw, ad, ak], ac)
-    # every request's (word, document) is among the own counts, and both are sorted alike
-    joint_w, joint_d = np.concatenate([ow, aw]), np.concatenate([od, ad])
-    o = np.lexsort((np.concatenate([np.zeros(len(ow), np.int8), np.ones(len(aw), np.int8)]), joint_d, joint_w))
-    last = np.maximum.accumulate(np.where(o < len(ow), o, -1))
-    own = np.empty(len(aw), np.int64)
-    asks = o >= len(ow)
-    own[o[asks] - len(ow)] = oc[last[asks]]
-    others = n[np.searchsorted(w, aw)] - own
-    value = np.log(np.where(others > 0, others, UNSEEN)) * ac * np.where(ak == 1, 1, -1)
-    (docs,), log = count_rows([ad], value)
-    _, words_ = count_rows([ad], ac)
-    _, backed = count_rows([ad], np.where(ak == 1, ac, 0))
-    _, unseen = count_rows([ad], np.where((ak == 1) & (others == 0), ac, 0))
-    own_sums = pd.DataFrame({"doc_id": docs, "log": log, "hits": words_ - backed, "words": words_, "unseen": unseen})
-    return pd.concat([own_sums, *passed])
+    out = []
+    for d, log, hits, n, unseen in (unpack(b) for b in group["blob"][kind == SUMS]):
+        out.append(pd.DataFrame({"doc_id": d, "log": log.view(np.float64), "hits": hits, "words": n, "unseen": unseen}))
+    if (kind == ASK).any():
+        w, n = unpack(group["blob"][kind == WORD].iat[0])
+        aw, ad, own, coef = gathered(group["blob"][kind == ASK], 1)
+        others = n[np.searchsorted(w.view(np.uint64), aw)] - own
+        ids, doc = np.unique(ad, return_inverse=True)
+        log = np.bincount(doc, coef * np.log(np.where(others > 0, others, UNSEEN)), len(ids))
+        unseen = np.bincount(doc, np.where(others <= 0, coef, 0), len(ids)).astype(np.int64)
+        out.append(pd.DataFrame({"doc_id": ids, "log": log, "hits": 0, "words": 0, "unseen": unseen}))
+    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "log": [], "hits": [], "words": [], "unseen": []})
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_known_bigrams, n_unseen, logprob, score): a row per id whose text has words.
 
     ``logprob`` is the sum of natural logarithms, ``score`` its mean per word,
-    both rounded to four digits.  Rows of one id are one document (its history
-    does not run from row to row); null ids count as one id.  Null and blank
-    texts have no row, nor has an empty table.  If no other document exists, N
-    counts as half a word.
+    both rounded to four digits.  Rows with one id are separate histories of one
+    document, but each id should come in one row: rows that different tasks read
+    count as elsewhere for each other's words.  Null ids count as one id.  Null
+    and blank texts have no row, nor has an empty table.  If there is no other
+    document, N counts as half a word.
     """
     spark = df.sparkSession
-    parts = max(SALTS, partitions(spark) // SALTS * SALTS)
+    parts = partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bigrams = docs.mapInPandas(explode(parts, True), PACKED).groupBy("part").applyInPandas(match_bigrams(parts), PACKED)
-    sums = docs.mapInPandas(explode(parts, False), PACKED).union(bigrams).groupBy("part").applyInPandas(match_words, "doc_id long, log double, hits long, words long, unseen long")
-    by_doc = materialize(sums.groupBy("doc_id").agg(F.sum("log").alias("log"), F.sum("hits").alias("hits"), F.sum("words").alias("words"), F.sum("unseen").alias("unseen")))
-    total = by_doc.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("total"))  # one row
+    counts = materialize(docs.mapInPandas(count_words(parts), PACKED).groupBy("part").applyInPandas(sum_words, PACKED))
+
+    def opened(least: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for w, n in map(unpack, batch["blob"]):
+                    yield pd.DataFrame({"h": w[n >= least], "n": n[n >= least]}) if least else pd.DataFrame({"h": [0], "n": [int(n.sum())]})
+
+        return run
+
+    total = counts.where(f"kind = {WORD}").select("blob").mapInPandas(opened(0), "h long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(2, math.ceil(total * HOT))
+    hot = Known([(r["h"], r["n"]) for r in counts.where(f"kind = {WORD}").select("blob").mapInPandas(opened(least), "h long, n long").collect()])  # at most 1 / HOT rows
+    often = counts.where(f"kind = {SUMS}").select("blob").mapInPandas(opened(max(1, least // 2)), "h long, n long")
+    pairs = Known([(r["h"], r["n"]) for r in often.collect()])  # at most 2 / HOT rows
+    bigrams = docs.mapInPandas(explode(parts, pairs), PACKED).groupBy("part").applyInPandas(match_bigrams(parts, hot), PACKED)
+    words_ = counts.where(f"kind = {WORD}")
+    sums = words_.union(bigrams).groupBy("part").applyInPandas(match_words, "doc_id long, log double, hits long, words long, unseen long")
+    by_doc = sums.groupBy("doc_id").agg(F.sum("log").alias("log"), F.sum("hits").alias("hits"), F.sum("words").alias("words"), F.sum("unseen").alias("unseen"))
     rest = F.col("words") - F.col("hits")
-    logprob = F.col("log") - rest * F.log(F.greatest(F.col("total") - F.col("words"), F.lit(UNSEEN)))
-    return by_doc.crossJoin(F.broadcast(total)).select(
+    logprob = F.col("log") - rest * F.log(F.greatest(F.lit(total) - F.col("words"), F.lit(UNSEEN)))
+    return by_doc.select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("words").alias("n_words"), F.col("hits").alias("n_known_bigrams"), F.col("unseen").alias("n_unseen"), F.round(logprob, 4).alias("logprob"), F.round(logprob / F.col("words"), 4).alias("score")
     )
 
