@@ -219,11 +219,13 @@ def decontam_stage(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows whose text holds a benchmark passage."""
     spark, out = df.sparkSession, df.select(*DOCUMENT_COLUMNS)
     for index in blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(index)
+        out = out.where(_clean(spark.sparkContext.broadcast(index))("text"))
+    return out
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not (isinstance(t, str) and find(shared.value, t)) for t in texts], dtype=bool)
 
-        out = out.where(clean("text"))
-    return out
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not (isinstance(t, str) and find(shared.value, t)) for t in texts], dtype=bool)
+
+    return clean
