@@ -62,7 +62,7 @@ def feature_df(toks: DataFrame, least: int = MIN_COUNT) -> DataFrame:
 def context_pairs(toks: DataFrame, k: int = CONTEXT) -> DataFrame:
     """(a, b, n): how often a stands among the k kept tokens before b in a sentence."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("pos").rowsBetween(-k, -1)
-    return toks.select("lemma", F.explode(F.collect_list("lemma").over(w)).alias("a")).groupBy("a", F.col("lemma").alias("b")).agg(F.count("*").alias("n"))
+    return toks.select("lemma", F.collect_list("lemma").over(w).alias("before")).select("lemma", F.explode("before").alias("a")).groupBy("a", F.col("lemma").alias("b")).agg(F.count("*").alias("n"))
 
 
 def cooccurrence(pairs: DataFrame, words: DataFrame) -> DataFrame:
