@@ -3,8 +3,9 @@
 Nodes are opaque binary keys.  Candidates come in three rounds, each against
 what the last has settled: every bucket member with the bucket's smallest key;
 every member of a bucket that still spans several components with the member of
-most verified links; at last all pairs across components in what is left, in
-blocks of bounded size.  So a group of many near copies collapses along stars
+most verified links; at last the pairs across components in what is left, in
+blocks of bounded size.  A block looks at each of its pairs and emits a spanning
+forest of those that link.  So a group of many near copies collapses along stars
 and never becomes all its pairs, and yet every pair of one bucket that could
 still join two components is looked at.
 """
@@ -22,6 +23,9 @@ from .common import materialize
 
 #: Members in a block of a bucket whose pairs one task compares.
 BLOCK = 512
+DOUBT, SURE = 1, 2
+#: Most repetitions of the last step; each takes other bits of the hashes.
+ROUNDS = 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,11 +56,14 @@ def pairs(a, b) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def block_pairs(rest: DataFrame, keep: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs across labels within each bucket of ``rest(bucket, key, label, sketch, n)`` for which ``keep`` holds.
+def block_pairs(rest: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs across labels within each bucket of ``rest(bucket, key, label, ...)`` that ``choose`` picks.
 
-    A bucket of s members is cut into ceil(s / BLOCK) blocks by the key's hash;
-    each pair of blocks is one group of bounded size.
+    Members of a bucket's commonest label need no comparison with each other, so
+    they and the others are cut into blocks of at most about BLOCK members
+    apart; each pair of blocks, but for pairs of two common ones, is one group of
+    bounded size.  ``choose`` gets a group and two index arrays of its pairs and
+    returns for each 0, DOUBT or SURE; a pair that is 0 isn't emitted.
     """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -69,26 +76,55 @@ def block_pairs(rest: DataFrame, keep: Callable[[pd.DataFrame, np.ndarray, np.nd
             ok &= block[i] != block[j]
         i, j = i[ok], j[ok]
         if len(i):
-            ok = keep(group, i, j)
-            i, j = i[ok], j[ok]
+            picked = choose(group, i, j)
+            i, j, picked = i[picked > 0], j[picked > 0], picked[picked > 0]
+        else:
+            picked = np.zeros(0, np.int8)
         keys = group["key"].to_numpy()
-        return pd.DataFrame({"a": keys[i], "b": keys[j]})
+        return pd.DataFrame({"a": keys[i], "b": keys[j], "sure": picked == SURE})
 
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    common = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = common.select("bucket", "top", blocks(F.col("all") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many"))
+    is_top = F.col("label") == F.col("top.label")
     dealt = (
-        rest.join(sizes, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "label", "sketch", "n")
+        rest.join(sizes.where("few > 0"), "bucket")
+        .withColumn("block", F.when(is_top, F.col("few") + F.pmod(F.xxhash64("key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("key"), F.col("few"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_top, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+        .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *[c for c in rest.columns if c != "bucket"])
     )
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a binary, b binary").distinct()
-
-
-def link(nodes: DataFrame, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: Callable) -> tuple[DataFrame, DataFrame]:
-    """(labels of linked keys, verified edges).
-
-    ``nodes(key, sketch, n)``; ``buckets(key, bucket)``; ``verify`` returns those
-    of the candidate edges that hold; ``keep`` filters pairs by their sketches.
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs, taken in order, join parts that were apart until then."""
+    parent = list(range(int(label.max(initial=-1)) + 1))
+    out = np.zeros(len(i), bool)
+    left = len(set(label.tolist())) - 1
+    for k, (a, b) in enumerate(zip(label[i].tolist(), label[j].tolist())):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out[k] = True
+            left -= 1
+            if not left:
+                break
+    return out
+
+
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: Callable[[DataFrame, int], DataFrame], choose: Callable) -> DataFrame:
+    """(key, label) of linked keys.
+
+    ``buckets(key, bucket)``; ``verify`` returns those of the candidate edges
+    that hold; ``enrich(rest, round)`` adds what ``choose`` needs to tell which
+    pairs of a block would join parts.  As long as one of the pairs that it was
+    sure of does not hold, the round is repeated.
     """
     shared = materialize(members(buckets))
     tried = materialize(shared.where("key <> hub").select(*pairs(F.col("key"), F.col("hub"))).distinct())
@@ -102,21 +138,23 @@ def link(nodes: DataFrame, buckets: DataFrame, verify: Callable[[DataFrame], Dat
 
     rest = materialize(open_buckets(shared.select("bucket", "key"), labels))
     if rest.isEmpty():
-        return labels, edges
+        return labels
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).groupBy("key").agg(F.count("*").alias("degree"))
     ranked = rest.join(ends, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top"))
     star = rest.join(best, "bucket").where("label <> top.label").select(*pairs(F.col("key"), F.col("top.key"))).distinct().join(tried, ["a", "b"], "left_anti")
-    star = materialize(star)
-    tried = tried.union(star)
-    edges = materialize(edges.union(verify(star)))
+    edges = edges.union(materialize(verify(materialize(star))))
     labels = components(edges)
-    rest = open_buckets(rest.select("bucket", "key"), labels).join(nodes.select("key", "sketch", "n"), "key")
-    last = materialize(block_pairs(rest, keep).join(tried, ["a", "b"], "left_anti"))
-    if last.isEmpty():
-        return labels, edges
-    more = materialize(verify(last))
-    if more.isEmpty():
-        return labels, edges
-    edges = edges.union(more)
-    return components(edges), edges
+    for turn in range(ROUNDS):
+        rest = materialize(open_buckets(rest.select("bucket", "key"), labels))
+        if rest.isEmpty():
+            return labels
+        chosen = materialize(block_pairs(enrich(rest, turn), choose))
+        if chosen.isEmpty():
+            return labels
+        held = materialize(verify(chosen.select("a", "b")))
+        edges = edges.union(held)
+        labels = components(edges)
+        if chosen.where("sure").join(held, ["a", "b"], "left_anti").isEmpty():
+            return labels
+    raise RuntimeError(f"pairs that a block takes for links failed the check {ROUNDS} times")

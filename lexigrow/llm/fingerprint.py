@@ -280,7 +280,7 @@ def near_pairs(df: DataFrame, least: float = 0.9, id_col: str = "doc_id", text_c
     texts are in no class.  A class meets every other class of its bands, in
     blocks of bounded size.
     """
-    from .components import block_pairs, members, pairs
+    from .components import SURE, block_pairs, members, pairs
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL")
     keyed = docs.withColumn("key", F.unhex(F.sha2("text", 256)))
@@ -292,8 +292,12 @@ def near_pairs(df: DataFrame, least: float = 0.9, id_col: str = "doc_id", text_c
             yield pd.DataFrame(rows, columns=["key", "bucket"])
 
     buckets = materialize(members(classes.select("key", "text").mapInPandas(bands_of, "key binary, bucket string")).select("key", "bucket"))
-    rows = buckets.withColumns({"label": F.col("key"), "sketch": F.col("key"), "n": F.lit(1)})
-    found = block_pairs(rows, lambda group, i, j: np.ones(len(i), bool)).select(*pairs(F.col("a"), F.col("b"))).distinct()
+    def similar(group: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        texts = group["text"].tolist()
+        return np.array([SURE * (edit_similarity(texts[a], texts[b], least) > 0) for a, b in zip(i, j)], np.int8)
+
+    rows = buckets.withColumn("label", F.col("key")).join(classes.select("key", "text"), "key")
+    found = block_pairs(rows, similar).select(*pairs(F.col("a"), F.col("b"))).distinct()
     a, b = classes.selectExpr("key AS a", "class_id AS ca", "text AS ta"), classes.selectExpr("key AS b", "class_id AS cb", "text AS tb")
 
     @F.pandas_udf("double")

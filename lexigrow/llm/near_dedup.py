@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, materialize, mix64
-from .components import link
+from .components import DOUBT, SURE, link, spanning
 
 M, BANDS, ROWS = 128, 25, 5
 BASE, RATE, LIMIT = 1.02, 20.0, 65534
@@ -110,22 +110,118 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[np.arange(len(j)), score.argmax(1)]
 
 
-def likely(threshold: float):
-    """Keeps pairs whose sizes allow the threshold and whose estimate comes near it."""
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether ``estimate`` is at least ``least``: the likelihood, which has one top, still rises there."""
+    above, below = (a > b).sum(1), (a < b).sum(1)
+    u = na / (na + nb)
+    v = 1 - u
+    c = (BASE - 1) / BASE
+    p = lambda x: -np.log1p(-x * c) / np.log(BASE)
+    slope = lambda x: c / ((1 - x * c) * np.log(BASE))
+    x, y = np.maximum(u - v * least, 1e-12), np.maximum(v - u * least, 1e-12)
+    pa, pb, da, db = p(x), p(y), -v * slope(x), -u * slope(y)
+    rise = above * da / pa + below * db / pb - (M - above - below) * (da + db) / (1 - pa - pb)
+    return (rise >= 0) & (np.minimum(u / v, v / u) >= least)
+
+
+#: A set of more shingles is compared within blocks by a sample of about KEEP / 2 to KEEP of them.
+KEEP = 512
+
+
+def sample(h: np.ndarray, turn: int) -> bytes:
+    """32 bits of each shingle, or of those in a hash range whose share halves as the set doubles."""
+    x = np.unique((mix64(h + np.uint64(turn) * GOLD) >> np.uint64(32)).astype(np.uint32))
+    return x[x < (1 << 32) >> sample_level(len(h))].tobytes()
+
+
+def sample_level(n):
+    return np.ceil(np.log2(np.maximum(n, KEEP) / KEEP)).astype(np.int64)
+
+
+def common_counts(samples: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared sampled shingles of all pairs of sets, and each set's own, at a sampling level."""
+    cut = [x[x < (1 << 32) >> level] for x in samples]
+    sizes = np.array([len(x) for x in cut])
+    values, column, times = np.unique(np.concatenate(cut), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(cut)), sizes)
+    used = times > 1  # shingles of one set alone are in no intersection
+    number = np.cumsum(used) - 1
+    held = used[column]
+    row, column = row[held], number[column[held]]
+    both = np.zeros((len(cut), len(cut)), np.float32)
+    for at in range(0, int(used.sum()), 4096):
+        part = (column >= at) & (column < at + 4096)
+        m = np.zeros((len(cut), min(4096, int(used.sum()) - at)), np.float32)
+        m[row[part], column[part] - at] = 1
+        both += m @ m.T
+    return both, sizes
+
+
+def linking(threshold: float):
+    """Picks a spanning forest of the pairs that reach the threshold.
+
+    A pair is looked at in the first band that it shares.  Its likelihood
+    estimate must come near the threshold; then the sets are compared, sampled
+    ones with the slack of their sampling error.
+    """
 
-    def keep(group: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def choose(group: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n = group["n"].to_numpy(np.float64)
         s = np.stack([np.frombuffer(x, ">u2") for x in group["sketch"]]).astype(np.uint16)
-        out = np.zeros(len(i), bool)
-        for at in range(0, len(i), 20_000):
-            p, q = i[at : at + 20_000], j[at : at + 20_000]
-            ok = np.flatnonzero(np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))
-            if len(ok):
-                p, q = p[ok], q[ok]
-                out[at + ok[estimate(s[p], s[q], n[p], n[q]) >= threshold - SLACK]] = True
+        band = int(group["bucket"].iat[0]) & 31
+        powers = np.uint64(65537) ** np.arange(ROWS, dtype=np.uint64)
+        keys = (s[:, : BANDS * ROWS].astype(np.uint64).reshape(len(s), BANDS, ROWS) * powers).sum(2).T
+        at = np.flatnonzero(np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+        kept = [np.zeros(0, np.int64)]
+        for a in range(0, len(at), 20_000):
+            part = at[a : a + 20_000]
+            # looked at in an earlier band already?
+            seen = np.zeros(len(part), bool)
+            for earlier in keys[:band]:
+                seen |= earlier[i[part]] == earlier[j[part]]
+            part = part[~seen]
+            if len(part):
+                kept.append(part[likely(s[i[part]], s[j[part]], n[i[part]], n[j[part]], threshold - SLACK)])
+        at = np.concatenate(kept)
+        out = np.zeros(len(i), np.int8)
+        if not len(at):
+            return out
+        samples = [np.frombuffer(x, np.uint32) for x in group["sample"]]
+        level = np.maximum(sample_level(n[i[at]]), sample_level(n[j[at]]))
+        likeness = np.zeros(len(at))
+        slack = np.zeros(len(at))
+        for k in np.unique(level):
+            own = np.flatnonzero(level == k)
+            names, at_name = np.unique(np.concatenate([i[at[own]], j[at[own]]]), return_inverse=True)
+            both, sizes = common_counts([samples[x] for x in names], int(k))
+            p, q = at_name[: len(own)], at_name[len(own) :]
+            union = np.maximum(sizes[p] + sizes[q] - both[p, q], 1)
+            likeness[own] = both[p, q] / union
+            slack[own] = 5 * np.sqrt(threshold * (1 - threshold) / union) if k else 1e-9
+        # the surest first; of sampled pairs in doubt all those that the sure ones leave apart
+        order = np.argsort(-likeness, kind="stable")
+        at, likeness, slack = at[order], likeness[order], slack[order]
+        fits = likeness >= threshold - slack
+        sure = np.flatnonzero(fits & ((likeness >= threshold + slack) | (slack < 1e-6)))
+        label = pd.factorize(group["label"])[0]
+        out[at[sure][spanning(label, i[at[sure]], j[at[sure]])]] = SURE
+        doubt = np.setdiff1d(np.flatnonzero(fits), sure)
+        if len(doubt):
+            name = joined_labels(label, i[out > 0], j[out > 0])
+            p, q = i[at[doubt]], j[at[doubt]]
+            out[at[doubt][name[p] != name[q]]] = DOUBT
         return out
 
-    return keep
+    return choose
+
+
+def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    name = label.copy()
+    for a, b in zip(i.tolist(), j.tolist()):
+        u, v = name[a], name[b]
+        if u != v:
+            name[name == max(u, v)] = min(u, v)
+    return name
 
 
 def sketches(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,29 +251,38 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(df, words, id_col, text_col))
     nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(F.xxhash64(i, F.expr("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))), 5).bitwiseOR(i))
     buckets = nodes.select("key", F.explode(bands).alias("bucket"))
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = [shingle_set(t, words) for t in batch["text"].iloc[at : at + 500] if isinstance(t, str)]
-                yield pd.DataFrame({"key": [set_key(s) for s in part], "hashes": [s.view(np.int64) for s in part]})
+    def of_keys(keys: DataFrame, fn, schema: str) -> DataFrame:
+        """``fn`` of the shingle sets of ``keys``, from one text each."""
 
-    def verify(edges: DataFrame) -> DataFrame:
-        used = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
-        reps = materialize(used.join(nodes.select("key", "rep"), "key"))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    part = [shingle_set(t, words) for t in batch["text"].iloc[at : at + 500] if isinstance(t, str)]
+                    yield pd.DataFrame({"key": [set_key(s) for s in part], "value": [fn(s) for s in part]})
+
+        reps = materialize(keys.join(nodes.select("key", "rep"), "key"))
         ids = reps.select(F.col("rep").alias("r")).distinct()
         small = reps.count() <= BROADCAST_IDS
         held = texts.join(F.broadcast(ids) if small else ids, texts.doc_id.eqNullSafe(F.col("r")), "left_semi")
         # a repeated id may bring in texts of other sets; the keys sort them out
-        sets = held.mapInPandas(sets_of, "key binary, hashes array<long>").join(reps.select("key"), "key", "left_semi").dropDuplicates(["key"])
-        a = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
-        b = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
+        return held.mapInPandas(run, f"key binary, value {schema}").join(reps.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
+    def verify(edges: DataFrame) -> DataFrame:
+        used = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+        sets = of_keys(used, lambda s: s.view(np.int64), "array<long>")
+        a = sets.select(F.col("key").alias("a"), F.col("value").alias("ha"))
+        b = sets.select(F.col("key").alias("b"), F.col("value").alias("hb"))
         both = edges.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.where(F.col("common") * 100 >= F.lit(percent) * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b")
 
-    labels, _ = link(nodes, buckets, verify, likely(percent / 100))
+    def enrich(rest: DataFrame, turn: int) -> DataFrame:
+        samples = materialize(of_keys(rest.select("key").distinct(), lambda s: sample(s, turn), "binary"))
+        return rest.join(nodes.select("key", "sketch", "n"), "key").join(samples.withColumnRenamed("value", "sample"), "key")
+
+    labels = link(buckets, verify, enrich, linking(percent / 100))
     named = nodes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     parts = named.join(names, "label").select("key", "component_id")
