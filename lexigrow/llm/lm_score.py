@@ -17,7 +17,7 @@ bytes:
    rows of that bigram; the rows of a hot bigram are dealt over several, with its
    count for each.  Known bigrams ask for the unigram u, the others for w.
 3. Requests for words that aren't hot go to the partition of hash(w).
-4. Each document's parts are summed.
+4. Each document's parts are summed, in the partition of its id.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from .common import materialize, mix64, partitions
 
 ALPHA, UNSEEN, HOT = 0.4, 0.5, 1 / 4000
 #: Words that a task gathers before it packs their rows.
-CHUNK_WORDS = 2_000_000
-MEMO = 400_000
+CHUNK_WORDS = 1_200_000
+#: Hash partitions for each of Spark's: a group of rows that a task opens at a time is so much smaller.
+FINER = 2
+MEMO = 250_000
 NULL_ID = -(2**63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +75,7 @@ def pack(*columns: np.ndarray) -> bytes:
         rises = len(c) > 1 and bool((c[1:] >= c[:-1]).all())
         d = np.diff(x, prepend=np.int64(0)) if rises else x
         parts += [np.array([len(c), rises], np.int64).tobytes(), np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -317,21 +319,45 @@ def match_bigrams(parts: int, hot: Known):
     return run
 
 
-def match_words(group: pd.DataFrame) -> pd.DataFrame:
-    """One partition's requests against its word counts: sums by document."""
-    kind = group["kind"].to_numpy()
-    out = []
-    for d, log, hits, n, unseen in (unpack(b) for b in group["blob"][kind == SUMS]):
-        out.append(pd.DataFrame({"doc_id": d, "log": log.view(np.float64), "hits": hits, "words": n, "unseen": unseen}))
-    if (kind == ASK).any():
-        w, n = unpack(group["blob"][kind == WORD].iat[0])
-        aw, ad, own, coef = gathered(group["blob"][kind == ASK], 1)
-        others = n[np.searchsorted(w.view(np.uint64), aw)] - own
-        ids, doc = np.unique(ad, return_inverse=True)
-        log = np.bincount(doc, coef * np.log(np.where(others > 0, others, UNSEEN)), len(ids))
-        unseen = np.bincount(doc, np.where(others <= 0, coef, 0), len(ids)).astype(np.int64)
-        out.append(pd.DataFrame({"doc_id": ids, "log": log, "hits": 0, "words": 0, "unseen": unseen}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "log": [], "hits": [], "words": [], "unseen": []})
+def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return part_of(mix64(ids.view(np.uint64) + GOLD), parts)
+
+
+def match_words(parts: int):
+    """One partition's requests against its word counts: sums by document, packed by the document's partition."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        kind = group["kind"].to_numpy()
+        sums = [unpack(b) for b in group["blob"][kind == SUMS]]
+        if (kind == ASK).any():
+            w, n = unpack(group["blob"][kind == WORD].iat[0])
+            aw, ad, own, coef = gathered(group["blob"][kind == ASK], 1)
+            others = n[np.searchsorted(w.view(np.uint64), aw)] - own
+            ids, doc = np.unique(ad, return_inverse=True)
+            log = np.bincount(doc, coef * np.log(np.where(others > 0, others, UNSEEN)), len(ids))
+            unseen = np.bincount(doc, np.where(others <= 0, coef, 0), len(ids)).astype(np.int64)
+            sums.append([ids, log.view(np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), unseen])
+        if not sums:
+            return pd.DataFrame({"part": [], "blob": []})
+        columns = summed(sums)
+        p = doc_part(columns[0], parts)
+        order = np.argsort(p, kind="stable")
+        p, columns = p[order], [c[order] for c in columns]
+        return pd.DataFrame([(int(p[i]), pack(*[c[i:j] for c in columns])) for i, j in cuts(p)], columns=["part", "blob"])
+
+    return run
+
+
+def summed(sums: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Document ids, sorted, and the sums of their logarithms (as bits) and counts."""
+    d, log, *counts = [np.concatenate(c) for c in zip(*sums)]
+    ids, doc = np.unique(d, return_inverse=True)
+    return [ids, np.bincount(doc, log.view(np.float64), len(ids)).view(np.int64), *[np.bincount(doc, c, len(ids)).astype(np.int64) for c in counts]]
+
+
+def sum_documents(group: pd.DataFrame) -> pd.DataFrame:
+    d, log, hits, n, unseen = summed([unpack(b) for b in group["blob"]])
+    return pd.DataFrame({"doc_id": d, "log": log.view(np.float64), "hits": hits, "words": n, "unseen": unseen})
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +371,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     document, N counts as half a word.
     """
     spark = df.sparkSession
-    parts = partitions(spark)
+    parts = FINER * partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = materialize(docs.mapInPandas(count_words(parts), PACKED).groupBy("part").applyInPandas(sum_words, PACKED))
 
@@ -364,8 +390,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = Known([(r["h"], r["n"]) for r in often.collect()])  # at most 2 / HOT rows
     bigrams = docs.mapInPandas(explode(parts, pairs), PACKED).groupBy("part").applyInPandas(match_bigrams(parts, hot), PACKED)
     words_ = counts.where(f"kind = {WORD}")
-    sums = words_.union(bigrams).groupBy("part").applyInPandas(match_words, "doc_id long, log double, hits long, words long, unseen long")
-    by_doc = sums.groupBy("doc_id").agg(F.sum("log").alias("log"), F.sum("hits").alias("hits"), F.sum("words").alias("words"), F.sum("unseen").alias("unseen"))
+    sums = words_.union(bigrams).groupBy("part").applyInPandas(match_words(parts), "part int, blob binary")
+    by_doc = sums.groupBy("part").applyInPandas(sum_documents, "doc_id long, log double, hits long, words long, unseen long")
     rest = F.col("words") - F.col("hits")
     logprob = F.col("log") - rest * F.log(F.greatest(F.lit(total) - F.col("words"), F.lit(UNSEEN)))
     return by_doc.select(
