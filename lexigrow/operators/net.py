@@ -104,14 +104,13 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int | None = None) ->
     """(node, depth): breadth-first distances over ``edges(src, dst)`` from ``start(node)``; all rounds if None."""
     from .common import materialize
 
-    known = start.select("node").distinct().withColumn("depth", F.lit(0))
+    edges = materialize(edges.select("src", "dst"))
+    known = front = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
-    while rounds is None or depth < rounds:
+    while (rounds is None or depth < rounds) and not front.isEmpty():
         depth += 1
-        front = known.where(F.col("depth") == depth - 1)
-        new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(depth))
-        new = materialize(new)
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
+        # rewritten whole, so that the plan stays the same size in every round
+        known = materialize(known.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth")))
+        front = known.where(F.col("depth") == depth)
     return known

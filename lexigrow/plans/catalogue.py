@@ -240,12 +240,22 @@ def signed_matrix(s, d):
     return N.signed_matrix(B.net(s, d))
 
 
-@query
-def reachability(s, d):
-    """Orders of one customer that can be reached from the customer's first."""
+def _reached(s, d, rounds=None):
     con = B.net(s, d).con_rel
     first = con.select(F.col("from_syn").alias("node")).join(con.select(F.col("to_syn").alias("node")), "node", "left_anti")
-    return N.reachable(con.selectExpr("from_syn AS src", "to_syn AS dst"), first, 6)
+    return N.reachable(con.selectExpr("from_syn AS src", "to_syn AS dst"), first, rounds)
+
+
+@query
+def reachability(s, d):
+    """Orders of one customer within 6 steps of the customer's first, as its SQL bounds them; ``reachability_all`` has all."""
+    return _reached(s, d, 6)
+
+
+@query
+def reachability_all(s, d):
+    """Orders of one customer that can be reached from the customer's first, however far."""
+    return _reached(s, d)
 
 
 @query

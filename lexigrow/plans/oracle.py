@@ -173,6 +173,7 @@ ORACLE = {
     "mean_degree": f"{N}, {GRAPH} SELECT round(avg(d), 6) AS mean_degree FROM (SELECT count(*) AS d FROM graph GROUP BY src, src_pos)",
     "signed_matrix": f"{N}, {CELLS} SELECT * FROM cells",
     "reachability": f"WITH RECURSIVE {NET}, first AS (SELECT f AS node FROM con WHERE f NOT IN (SELECT t FROM con)), reach AS (SELECT node, 0 AS depth FROM first UNION SELECT t, depth + 1 FROM reach JOIN con ON f = node WHERE depth < 6) SELECT node, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY node",
+    "reachability_all": f"WITH RECURSIVE {NET}, first AS (SELECT f AS node FROM con WHERE f NOT IN (SELECT t FROM con)), reach AS (SELECT node, 0 AS depth FROM first UNION SELECT t, depth + 1 FROM reach JOIN con ON f = node) SELECT node, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY node",
     "lexicon_matvec": f"{N}, {CELLS}, {matvec(5)}, ends AS (SELECT max(x) AS hi, min(x) AS lo FROM v5), "
     f"fin AS (SELECT form, pos, CASE polarity WHEN 'positive' THEN hi + 1 WHEN 'negative' THEN lo - 1 ELSE x END AS score FROM v5 LEFT JOIN nodes USING (form, pos), ends) {best_by_form('SELECT form, pos, CASE WHEN score > 0 THEN $$positive$$ ELSE $$negative$$ END AS polarity, score FROM fin WHERE abs(score) >= 0.5', 4)}",
     "lexicon_label_prop": f"{N}, {CELLS}, {label_prop(4)} "
