@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,25 +112,51 @@ def kappa(counts: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("kappa", F.when(chance < 1, (seen - chance) / (1 - chance)).otherwise(0.0))
 
 
-def align(a: list[str], b: list[str], gap: int = -2, hit: int = 2, miss: int = -1) -> list[list[int]]:
-    """Global alignment: for each item of ``a`` the indexes of ``b``; of equal scores substitution comes first, then insertion."""
-    n, m = len(a), len(b)
-    score = [[gap * (i + j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i][j] = max(score[i - 1][j - 1] + (hit if a[i - 1] == b[j - 1] else miss), score[i][j - 1] + gap, score[i - 1][j] + gap)
-    out: list[list[int]] = [[] for _ in range(n)]
-    i, j = n, m
-    while i and j:
-        if score[i][j] == score[i - 1][j - 1] + (hit if a[i - 1] == b[j - 1] else miss):
-            i, j = i - 1, j - 1
-            out[i].insert(0, j)
-        elif score[i][j] == score[i][j - 1] + gap:
-            j -= 1
-            out[i - 1].insert(0, j)
-        else:
-            i -= 1
-    return out
+def align(a: list[str], b: list[str], gap: int = -2, hit: int = 2, miss: int = -1, held: int = 1 << 24) -> list[list[int]]:
+    """Global alignment: for each item of ``a`` the indexes of ``b``; of equal scores substitution comes first, then insertion.
+
+    Rows are halved until a block has at most ``held`` cells, whose moves are kept; other rows are computed again.
+    """
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in s], np.int64) for s in (a, b))
+    out: list[list[int]] = [[] for _ in a]
+    slope = gap * np.arange(len(b) + 1, dtype=np.int64)
+
+    def following(row: np.ndarray, i: int, moves: np.ndarray | None = None) -> np.ndarray:
+        """The scores of row ``i`` from those of the row before."""
+        m = len(row) - 1
+        swap = row[:-1] + np.where(y[:m] == x[i - 1], hit, miss)
+        best = row + gap
+        np.maximum(best[1:], swap, out=best[1:])
+        new = np.maximum.accumulate(best - slope[: m + 1]) + slope[: m + 1]
+        if moves is not None:
+            moves[1:] = np.where(new[1:] == swap, 0, np.where(new[1:] == new[:-1] + gap, 1, 2))
+        return new
+
+    def back(top: int, end: int, row: np.ndarray, j: int) -> int:
+        """From row ``end``, column ``j`` up to row ``top``, whose scores are ``row``: the column reached."""
+        row = row[: j + 1]
+        if end - top > 1 and (end - top) * (j + 1) > held:
+            mid = (top + end) // 2
+            at = row
+            for i in range(top + 1, mid + 1):
+                at = following(at, i)
+            return back(top, mid, row, back(mid, end, at, j))
+        moves = np.zeros((end - top, j + 1), np.uint8)
+        for i in range(top + 1, end + 1):
+            row = following(row, i, moves[i - top - 1])
+        i = end
+        while i > top and j:
+            move = moves[i - top - 1, j]
+            if move != 2:
+                j -= 1
+                out[i - 1].append(j)
+            if move != 1:
+                i -= 1
+        return j
+
+    back(0, len(a), slope, len(b))
+    return [js[::-1] for js in out]
 
 
 def align_columns(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -406,7 +406,7 @@ for _scheme in ("binary", "proportional", "exact"):
 @query
 def align_sequences(s, d):
     """Each turn's words against the next turn's."""
-    rows = B.read(s, d, "conversations").select("conv_id", "turn", F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 10_000).alias("a"))
+    rows = B.read(s, d, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), " ").alias("a"))
     by = Window.partitionBy("conv_id").orderBy("turn", "a")
     pairs = rows.withColumn("b", F.lead("a").over(by)).where("b IS NOT NULL")
     return evaluate.align_columns(pairs, "a", "b").select("conv_id", "turn", F.size(F.filter("aligned", lambda x: F.size(x) > 0)).alias("n_aligned"))

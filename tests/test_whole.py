@@ -1,5 +1,8 @@
 """Queries do the whole job: cases beyond the rounds, lengths and samples that they once stopped at."""
 
+import numpy as np
+
+from lexigrow.operators import evaluate
 from lexigrow.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +14,17 @@ def test_reachability_all_goes_past_six_steps(spark, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(5).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r["node"]: r["depth"] for r in catalogue.queries()["reachability_all"](spark, str(tmp_path)).collect()}
     assert got == {k: k - 1 for k in range(1, 13)}
+
+
+def test_long_turns_are_aligned_whole(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(10_050))
+    spark.createDataFrame([(1, 0, text), (1, 1, text)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalogue.queries()["align_sequences"](spark, str(tmp_path)).collect()
+    assert [(r["turn"], r["n_aligned"]) for r in rows] == [(0, 10_050)]
+
+
+def test_alignment_in_blocks_is_the_same():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.integers(0, 3, rng.integers(0, 15)).tolist() for _ in range(2))
+        assert evaluate.align(a, b, held=1) == evaluate.align(a, b, held=20) == evaluate.align(a, b)
