@@ -1,11 +1,14 @@
-"""Token counts of a unigram tokenizer without building the tokens.
-
-An Aho-Corasick automaton enumerates all vocabulary pieces in a segment;
-dynamic programming carries, for each end position, the best score and its piece
-count.  Ties follow the tokenizer: pieces are offered by start position, then by
-length, and only a strictly better score replaces an earlier one.  A character
-that no single-character piece covers costs the lowest score less ten and counts
-as its UTF-8 bytes (byte fallback).
+"""Token counts by a SentencePiece model's own rules, without building the tokens.
+
+A BPE model merges the neighbours of best score, of equal scores the leftmost,
+until no two neighbours make a piece (``Merges``).  A unigram model takes the
+path of best score (``Counter``): an Aho-Corasick automaton enumerates all
+vocabulary pieces in a segment; dynamic programming carries, for each end
+position, the best score and its piece count.  Ties follow the tokenizer: pieces
+are offered by start position, then by length, and only a strictly better score
+replaces an earlier one.  There a character that no single-character piece
+covers costs the lowest score less ten.  In both it counts as its UTF-8 bytes
+(byte fallback).
 
 Pieces never hold a blank mark after another character, so a text falls into
 independent segments (blank marks, then other characters); each distinct segment
@@ -15,6 +18,7 @@ a SentencePiece model, never trained here.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -94,12 +98,57 @@ class Counter:
         return total
 
 
+class Merges(Counter):
+    """Counts of a BPE model."""
+
+    def __init__(self, vocab: list[tuple[str, float]]) -> None:
+        self.scores = dict(vocab)
+        self.chained = any(MARK in p.lstrip(MARK) for p in self.scores)
+        self.memo: dict[str, int] = {}
+
+    def segment(self, s: str) -> int:
+        scores, n = self.scores, len(s)
+        parts: list[str] = list(s)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            score = scores.get(piece := parts[i] + parts[j])
+            if score is not None:
+                heapq.heappush(heap, (-score, i, j, piece))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, piece = heapq.heappop(heap)
+            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(piece):
+                continue  # one of them has been merged since
+            parts[i], parts[j] = piece, ""
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
+        return sum(1 if p in scores else len(p.encode("utf-8", "surrogatepass")) for p in parts if p)
+
+
+def is_bpe(path: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
 def token_counts(df: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, number of tokens.  Null and empty texts have none."""
     vocab = vocabulary(path)  # 32,000 pieces: a fixed size
+    kind = Merges if is_bpe(path) else Counter
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(vocab)
+        counter = kind(vocab)
         for batch in batches:
             counts = [counter.count(t) if isinstance(t, str) else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(counts, np.int64)})

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from lexigrow.llm import token_count
 from lexigrow.operators import evaluate
 from lexigrow.plans import catalogue
 
@@ -28,3 +29,13 @@ def test_alignment_in_blocks_is_the_same():
     for _ in range(200):
         a, b = (rng.integers(0, 3, rng.integers(0, 15)).tolist() for _ in range(2))
         assert evaluate.align(a, b, held=1) == evaluate.align(a, b, held=20) == evaluate.align(a, b)
+
+
+def test_token_counts_are_the_models_own(spark):
+    import sentencepiece
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  a   b ", "▁x<0x0A>\n\U0001f600é中文", "x" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df).collect()}
+    own = sentencepiece.SentencePieceProcessor(model_file=f"{token_count.TOKENIZERS}/{token_count.MODEL}")
+    assert got == {i: len(own.encode(t)) for i, t in enumerate(texts)}
