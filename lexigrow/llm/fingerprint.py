@@ -8,8 +8,8 @@ byte hashed from the next four characters, so that it rarely agrees by chance.
 
 The fingerprint samples the embedding at the ``SAMPLES`` steps of least shared
 priority among a text's steps.  The sample is consistent: of two texts, the
-steps that both have are sampled in both.  ``near_pairs`` bands sampled bits,
-and verifies the pairs that share a band.
+steps that both have are sampled in both.  ``near_pairs`` doesn't sample: it
+blocks by q-grams of the whole text so that no pair is missed, and verifies.
 """
 
 from __future__ import annotations
@@ -224,23 +224,50 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
     return held.mapInPandas(run, schema)
 
 
-# --- banding and verification --------------------------------------------------
+# --- blocking and verification -------------------------------------------------
 
-BANDS, ROWS, BAND_STEPS = 8, 4, 40
-_bands = Priorities()
+#: Texts and slots by which q-grams are put in order of frequency; they bear on speed alone.
+ORDER_TEXTS, SLOTS = 2000, 1 << 20
 
 
-def band_keys(text: str) -> list[str]:
-    """Band keys on the two length scales (powers of two) that a similar text may share."""
-    e = walk([text_codes(text)])[0]
-    out = []
-    if len(e):
-        top = int(np.log2(len(e)))
-        for scale in (top, top - 1):
-            if scale >= 3:
-                chosen = e[_bands.first(1 << scale, BAND_STEPS)] & 0x0F  # four bits of each sampled symbol
-                out += [f"{scale}:{b}:{chosen[b * ROWS : (b + 1) * ROWS].tobytes().hex()}" for b in range(BANDS) if (b + 1) * ROWS <= len(chosen)]
-    return out
+def gram_size(least: float) -> int:
+    """So short that texts within reach of each other share a q-gram, whatever their length."""
+    return max(1, int(0.5 / max(1 - least, 1e-3)))
+
+
+def grams(text: str, q: int) -> np.ndarray:
+    """Hashes of the q-grams, each with its number among its equals."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < q:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(c) - q + 1, np.uint64)
+    for k in range(q):
+        h = mix64(h * GOLD + c[k : len(c) - q + 1 + k])
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return mix64(h + nth.astype(np.uint64) * GOLD)
+
+
+def block_keys(text: str, least: float, often: np.ndarray) -> np.ndarray:
+    """The first k * q + 1 q-grams in the shared order, k the most edits to any text within reach.
+
+    An edit changes at most q of the q-grams, so of two texts within k edits
+    each has at most k * q that the other lacks: their first k * q + 1 meet.
+    """
+    q, k = gram_size(least), int((1 - least) * len(text) / least + 1e-6)
+    if not k:
+        return np.zeros(0, np.int64)
+    g = grams(text, q)
+    return g[np.lexsort((g, often[g % np.uint64(len(often))]))][: k * q + 1].view(np.int64)
+
+
+def may_be_near(a: str, b: str, least: float) -> bool:
+    """Whether the q-grams that both have are as many as k edits must leave."""
+    q, n = gram_size(least), max(len(a), len(b))
+    both = np.intersect1d(grams(a, q), grams(b, q), assume_unique=True)
+    return len(both) >= n - q + 1 - q * int((1 - least) * n + 1e-6)
 
 
 def edit_similarity(a: str, b: str, least: float) -> float:
@@ -277,32 +304,39 @@ def near_pairs(df: DataFrame, least: float = 0.9, id_col: str = "doc_id", text_c
 
     ``members``: (doc_id, class_id) - equal texts are one class, named by its
     smallest id.  ``links``: (a, b, similarity) between classes.  Null and empty
-    texts are in no class.  A class meets every other class of its bands, in
-    blocks of bounded size.
+    texts are in no class.  Classes that share a block key meet, in blocks of
+    bounded size; every pair within reach shares one.
     """
-    from .components import SURE, block_pairs, members, pairs
+    from .components import BLOCK, members
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL")
     keyed = docs.withColumn("key", F.unhex(F.sha2("text", 256)))
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text"))
 
-    def bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, b) for k, t in zip(batch["key"], batch["text"]) for b in dict.fromkeys(band_keys(t))]
-            yield pd.DataFrame(rows, columns=["key", "bucket"])
-
-    buckets = materialize(members(classes.select("key", "text").mapInPandas(bands_of, "key binary, bucket string")).select("key", "bucket"))
-    def similar(group: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        texts = group["text"].tolist()
-        return np.array([SURE * (edit_similarity(texts[a], texts[b], least) > 0) for a, b in zip(i, j)], np.int8)
+    often, q = np.zeros(SLOTS, np.int64), gram_size(least)
+    for r in classes.select("text").limit(ORDER_TEXTS).toLocalIterator():
+        often += np.bincount((grams(r["text"], q) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    shared = df.sparkSession.sparkContext.broadcast(often)  # a fixed size
 
-    rows = buckets.withColumn("label", F.col("key")).join(classes.select("key", "text"), "key")
-    found = block_pairs(rows, similar).select(*pairs(F.col("a"), F.col("b"))).distinct()
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"]):
+                found = block_keys(text, least, shared.value)
+                yield pd.DataFrame({"key": [key] * len(found), "bucket": found, "n": len(text)})
+
+    buckets = materialize(classes.select("key", "text").mapInPandas(keys_of, "key binary, bucket long, n long"))
+
+    # one side whole, the other in blocks, so that no task has all pairs of a large bucket
+    rows = members(buckets).withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    left = rows.select("bucket", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("a"), F.col("n").alias("na"))
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"), F.col("n").alias("nb"))
+    close = F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-6
+    found = left.join(right, ["bucket", "block"]).where(close & (F.col("a") < F.col("b"))).select("a", "b").distinct()
     a, b = classes.selectExpr("key AS a", "class_id AS ca", "text AS ta"), classes.selectExpr("key AS b", "class_id AS cb", "text AS tb")
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edit_similarity(s, t, least) for s, t in zip(x, y)], dtype="float64")
+        return pd.Series([edit_similarity(s, t, least) if may_be_near(s, t, least) else 0.0 for s, t in zip(x, y)], dtype="float64")
 
     links = found.join(a, "a").join(b, "b").withColumn("similarity", similarity("ta", "tb")).where(F.col("similarity") >= least)
     return keyed.join(classes.select("key", "class_id"), "key").select("doc_id", "class_id"), links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")

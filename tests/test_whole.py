@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lexigrow.llm import token_count
+from lexigrow.llm import fingerprint, token_count
 from lexigrow.operators import evaluate
 from lexigrow.plans import catalogue
 
@@ -39,3 +39,21 @@ def test_token_counts_are_the_models_own(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df).collect()}
     own = sentencepiece.SentencePieceProcessor(model_file=f"{token_count.TOKENIZERS}/{token_count.MODEL}")
     assert got == {i: len(own.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_near_pairs_misses_none(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
+    texts = []
+    for i in range(45):
+        n = int(rng.integers(9, 40)) if i % 3 == 0 else int(rng.integers(100, 400))
+        a = rng.choice(letters, n).tolist()
+        b = list(a)
+        for _ in range(int(n * (0.03, 0.06, 0.09, 0.1)[i % 4])):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
+        texts += ["".join(a), "".join(b)]
+    _, links = fingerprint.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if texts[i] != texts[j] and fingerprint.edit_similarity(texts[i], texts[j], 0.9) >= 0.9}
+    assert len(want) > 30
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
