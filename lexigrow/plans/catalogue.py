@@ -167,7 +167,7 @@ def cardinality_sweep(s, d):
 @query
 def lexicon_best_path(s, d):
     cells = corpus.prune(materialize(_cooc(s, d)))
-    out = methods.path_lexicon(cells, B.word_seeds(s), rounds=3).where("abs(score) < 1e300")
+    out = methods.path_lexicon(cells, B.word_seeds(s)).where("abs(score) < 1e300")
     return r6(out, "score")
 
 
@@ -260,7 +260,7 @@ def reachability_all(s, d):
 
 @query
 def lexicon_bfs(s, d):
-    return methods.breadth_first(B.net(s, d), B.net_seeds(s, d), rounds=2)
+    return methods.breadth_first(B.net(s, d), B.net_seeds(s, d))
 
 
 @query
@@ -273,11 +273,23 @@ def lexicon_label_prop(s, d):
     return r6(methods.label_propagation(B.net(s, d), B.net_seeds(s, d), rounds=4, tolerance=False), "score")
 
 
+@query
+def lexicon_label_prop_full(s, d):
+    """Until the masses stand still; the SQL of ``lexicon_label_prop`` unrolls 4 rounds."""
+    return r6(methods.label_propagation(B.net(s, d), B.net_seeds(s, d)), "score")
+
+
 @query
 def lexicon_random_walk(s, d):
     return r6(methods.random_walk(B.net(s, d), B.net_seeds(s, d), steps=4, threshold=0.02), "score")
 
 
+@query
+def lexicon_random_walk_full(s, d):
+    """All 17 steps; the SQL of ``lexicon_random_walk`` unrolls 4."""
+    return r6(methods.random_walk(B.net(s, d), B.net_seeds(s, d)), "score")
+
+
 @query
 def lexicon_bayes(s, d):
     out = methods.bayes(B.net(s, d), B.net_seeds(s, d))
@@ -290,7 +302,7 @@ def lexicon_ising(s, d):
     m = net.members().select("synid", "form")
     edges = m.join(m.withColumnRenamed("form", "b"), "synid").where("form < b").groupBy(F.col("form").alias("a"), "b").agg(F.count("*").cast("double").alias("w"))
     pinned = B.net_seeds(s, d).select(F.col("term").alias("item"), F.when(F.col("polarity") == "positive", 1.0).when(F.col("polarity") == "negative", -1.0).otherwise(0.0).alias("s"))
-    return r6(methods.spins(edges, pinned, sweeps=3), "spin")
+    return r6(methods.spins(edges, pinned), "spin")
 
 
 # --- vectors ---------------------------------------------------------------------
@@ -325,6 +337,12 @@ def lexicon_nearest_centroid(s, d):
     return r6(embed.nearest_centroid(B.vectors(s, d), B.vector_seeds(s, d), rounds=1), "score")
 
 
+@query
+def lexicon_nearest_centroid_full(s, d):
+    """Until no vector moves; the SQL of ``lexicon_nearest_centroid`` has one round."""
+    return r6(embed.nearest_centroid(B.vectors(s, d), B.vector_seeds(s, d)), "score")
+
+
 @query
 def lexicon_knn(s, d):
     return r6(embed.knn(B.vectors(s, d), B.vector_seeds(s, d)), "score")

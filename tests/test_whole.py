@@ -1,9 +1,12 @@
 """Queries do the whole job: cases beyond the rounds, lengths and samples that they once stopped at."""
 
+import inspect
+
 import numpy as np
+import pytest
 
 from lexigrow.llm import fingerprint, token_count
-from lexigrow.operators import evaluate
+from lexigrow.operators import corpus, embed, evaluate, methods
 from lexigrow.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +60,33 @@ def test_near_pairs_misses_none(spark):
     want = {(i, j) for j in range(len(texts)) for i in range(j) if texts[i] != texts[j] and fingerprint.edit_similarity(texts[i], texts[j], 0.9) >= 0.9}
     assert len(want) > 30
     assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
+@pytest.mark.parametrize(
+    "name, home, method, cuts",
+    [
+        ("lexicon_bfs", methods, "breadth_first", {"rounds": None}),
+        ("lexicon_best_path", methods, "path_lexicon", {"rounds": 20}),
+        ("lexicon_ising", methods, "spins", {"sweeps": 10}),
+        ("lexicon_label_prop_full", methods, "label_propagation", {"rounds": 300, "tolerance": True}),
+        ("lexicon_random_walk_full", methods, "random_walk", {"steps": 17, "threshold": 0.5}),
+        ("lexicon_nearest_centroid_full", embed, "nearest_centroid", {"rounds": None}),
+    ],
+)
+def test_iterative_queries_run_in_full(spark, monkeypatch, name, home, method, cuts):
+    class Called(Exception):
+        pass
+
+    shape = inspect.signature(getattr(home, method))
+
+    def spy(*args, **named):
+        bound = shape.bind(*args, **named)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in cuts})
+
+    monkeypatch.setattr(home, method, spy)
+    monkeypatch.setattr(catalogue, "_cooc", lambda s, d: spark.createDataFrame([], "a string, b string, n long"))
+    monkeypatch.setattr(corpus, "prune", lambda df, *a: df)
+    with pytest.raises(Called) as got:
+        catalogue.queries()[name](spark, SF)
+    assert got.value.args[0] == cuts
