@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 import pytest
 
-from lexigrow.llm import fingerprint, token_count
+from lexigrow.llm import chat, fingerprint, token_count
 from lexigrow.operators import corpus, embed, evaluate, methods
 from lexigrow.plans import catalogue
 
@@ -90,3 +90,13 @@ def test_iterative_queries_run_in_full(spark, monkeypatch, name, home, method, c
     with pytest.raises(Called) as got:
         catalogue.queries()[name](spark, SF)
     assert got.value.args[0] == cuts
+
+
+def test_chat_renders_true_prefixes(spark):
+    def counted(turns):  # numbers its turns, and the 20th rewrites the first
+        return "".join(f"{i}{'!' if i == 0 and len(turns) >= 20 else ':'}{r}={t};" for i, (r, t) in enumerate(turns))
+
+    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(25)], "conv_id long, turn long, role string, text string")
+    rows = chat.formatted_turns(df, counted).orderBy("position").collect()
+    assert [r["rewrites_history"] for r in rows] == [k == 19 for k in range(25)]
+    assert [r["span"] for r in rows if r["position"] not in (0, 19)] == [f"{k}:user=t{k};" for k in range(25) if k not in (0, 19)]
