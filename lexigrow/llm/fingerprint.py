@@ -22,25 +22,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, partitions
 
 SAMPLES = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 END = 0xFFFF
-#: Characters that one walk holds at a time, and how often it drops texts that have ended.
-HELD_CHARS, DROP_EVERY = 16_000_000, 32
-_CHAR = (mix64(np.arange(1 << 16, dtype=np.uint64) * GOLD + np.uint64(77)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_CHAR[END] = 0
+#: Characters of the rows that one walk holds at a time, and how often it drops texts that have ended.
+HELD_CHARS, DROP_EVERY = 6_000_000, 32
+#: Characters of a range of ids, on average.
+RANGE_CHARS = 20_000_000
+#: Fewer walkers than this go on one by one.
+FEW = 100
+#: Row k says which of 256 classes of characters move a pointer on at a step of kind k: each in 24 of the 32 kinds.
+_DRAWN = mix64(np.arange(256 * 32, dtype=np.uint64) * GOLD + np.uint64(77)).reshape(256, 32)
+_ROWS = np.append(_DRAWN.argsort(1).argsort(1) < 24, np.zeros((1, 32), bool), 0).T.astype(np.int64)
+_LISTS = _ROWS.tolist()
+_CLASS = (mix64(np.arange(1 << 16, dtype=np.uint64) * GOLD + np.uint64(78)) >> np.uint64(56)).astype(np.int64)
+_CLASS[END] = 256
 
 
 def text_codes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(np.where(c > 0xFFFF, (c ^ (c >> np.uint32(16))) & np.uint32(0xFFFF), c), END - 1).astype(np.uint16)
+    if len(c) and c.max() >= END:
+        c = np.minimum(np.where(c > 0xFFFF, (c ^ (c >> np.uint32(16))) & np.uint32(0xFFFF), c), END - 1)
+    return c.astype(np.uint16)
 
 
 def step_count(n: int) -> int:
-    """Steps of a text of n characters: twice n, and what chance may add."""
-    return 2 * n + 4 * int(np.ceil(np.sqrt(2 * n))) + 8 if n else 0
+    """Steps of a text of n characters: 4/3 n, and what chance may add."""
+    return 4 * n // 3 + 3 * int(np.ceil(np.sqrt(n))) + 8 if n else 0
 
 
 class Priorities:
@@ -59,68 +69,140 @@ class Priorities:
         return part[:count] if len(part) >= min(count, limit) else self.order[self.order < limit][:count]
 
 
-def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The whole embedding of each text, all in lock step."""
+def symbols_at(flat: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes written with the pointer at ``at``: hashed from the next four characters, 0 at a text's end."""
+    c = [np.where(at + k < ends, flat[np.minimum(at + k, len(flat) - 1)], END).astype(np.uint32) for k in range(4)]
+    gram = c[0] * np.uint32(0x9E3779B1) + c[1] * np.uint32(0x85EBCA6B) + c[2] * np.uint32(0xC2B2AE35) + c[3] * np.uint32(0x27D4EB2F)
+    return np.where(at < ends, (gram ^ (gram >> np.uint32(13))) * np.uint32(0x165667B1) >> np.uint32(24), 0).astype(np.uint8)
+
+
+def step_kinds(count: int) -> np.ndarray:
+    return (mix64(np.arange(count, dtype=np.uint64) * GOLD + np.uint64(9)) >> np.uint64(59)).astype(np.int64)
+
+
+def walk(texts: list[np.ndarray], wanted: list[np.ndarray], twin: list[int] | None = None, shared: list[int] | None = None) -> list[np.ndarray]:
+    """The symbols that each text's walk writes at its ``wanted`` steps.
+
+    All texts walk in lock step, and only the pointers at wanted steps are kept.
+    A text may name a ``twin`` (an earlier text, or -1) with which it shares its
+    first characters, ``shared`` in number: it joins the walk where the twin's
+    pointer comes near the end of those.  The last few walkers go on one by one.
+    """
+    count = len(texts)
+    twin, shared = twin or [-1] * count, shared or [0] * count
     lengths = np.array([len(t) for t in texts], np.int64)
     steps = np.array([step_count(int(n)) for n in lengths], np.int64)
-    flat = np.full(int(lengths.sum()) + len(texts) + 3, END, np.uint16)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
+    flat = np.full(int(lengths.sum()) + count, END, np.uint16)
     for a, t in zip(starts, texts):
         flat[a : a + len(t)] = t
-    wide = flat.astype(np.uint32)
-    gram = wide[:-3] * np.uint32(0x9E3779B1) + wide[1:-2] * np.uint32(0x85EBCA6B) + wide[2:-1] * np.uint32(0xC2B2AE35) + wide[3:] * np.uint32(0x27D4EB2F)
-    symbol = ((gram ^ (gram >> np.uint32(13))) * np.uint32(0x165667B1) >> np.uint32(24)).astype(np.uint8)
-    del wide, gram
-    # within the last three characters a four-character hash would look into the next text
-    for a, n in zip(starts, lengths):
-        tail = flat[max(a, a + n - 3) : a + n]
-        symbol[max(a, a + n - 3) : a + n] = (_CHAR[tail] >> np.uint32(9)).astype(np.uint8)
-    symbol[np.minimum(starts + lengths, len(symbol) - 1)] = 0
-    offsets = np.concatenate([[0], np.cumsum(steps)])
-    out = np.zeros(int(offsets[-1]), np.uint8)
-    order = np.argsort(-steps, kind="stable")
-    at, to, left = starts[order], offsets[order], steps[order]
-    moves = _CHAR[flat]
-    keys = (mix64(np.arange(int(steps.max(initial=0)), dtype=np.uint64) * GOLD + np.uint64(9)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    trace, drawn, done = np.empty((DROP_EVERY, len(at)), np.int64), np.empty(len(at), np.uint32), 0
-    while len(at) and left[0] > done:
-        alive = int(np.searchsorted(-left, -done, side="left"))
-        if alive < len(at):
-            at, to, left = at[:alive], to[:alive], left[:alive]
-            trace, drawn = np.empty((DROP_EVERY, alive), np.int64), drawn[:alive]
-        until = min(done + DROP_EVERY, int(left[-1]))
-        for j in range(done, until):
-            trace[j - done] = at
-            np.take(moves, at, out=drawn, mode="clip")
-            np.multiply(drawn, keys[j], out=drawn)
-            np.right_shift(drawn, 31, out=drawn)
-            np.add(at, drawn, out=at)
-        n = until - done
-        out[to[:, None] + np.arange(done, until)] = symbol[trace[:n].T]
-        done = until
+    classes, kinds = _CLASS[flat], step_kinds(int(steps.max(initial=0)) + DROP_EVERY)
+    # the wanted (step, text) in order of steps, and the pointers found there, relative to the text's start
+    sizes = np.array([len(w) for w in wanted])
+    asked, owner = np.concatenate([*wanted, np.zeros(0, np.int64)]), np.repeat(np.arange(count), sizes)
+    order = np.argsort(asked, kind="stable")
+    asked, owner = asked[order], owner[order]
+    pointer = np.zeros(len(asked), np.int64)
+    cuts = np.searchsorted(asked, np.arange(0, int(steps.max(initial=0)) + DROP_EVERY, DROP_EVERY))
+    follows = np.where(steps > 0, np.array(twin, np.int64), -1)
+    ids = np.flatnonzero((follows < 0) & (steps > 0))
+    at, place = starts[ids], np.full(count, -1, np.int64)
+    forks = np.full(count, -1, np.int64)
+    forks[follows[follows >= 0]] = np.flatnonzero(follows >= 0)  # who waits for whom
+    edge = np.array(shared, np.int64)
+    waiting = int((follows >= 0).sum())
+
+    def settle() -> None:
+        """Where each text's pointer is to be read; a waiting text's is its twin's."""
+        place[:] = -1
+        place[ids] = np.arange(len(ids))
+        held = np.flatnonzero((follows >= 0) & ~joined)
+        place[held] = place[follows[held]]
+        origin[ids] = starts[ids]
+        origin[held] = starts[follows[held]]
+
+    joined, origin = follows < 0, starts.copy()
+    done, changed, span = 0, True, len(cuts) - 1
+    while len(ids):
+        if waiting:
+            f = forks[ids]
+            near = (f >= 0) & (at - starts[ids] + DROP_EVERY > edge[f])
+            if near.any():
+                new, by = f[near], at[near] - starts[ids[near]]
+                forks[ids[near]], joined[new] = -1, True
+                ids, at = np.concatenate([ids, new]), np.concatenate([at, starts[new] + by])
+                waiting -= len(new)
+                changed = True
+        keep = steps[ids] > done
+        if waiting:
+            keep |= forks[ids] >= 0  # its twin is yet to join
+        if not keep.all():
+            ids, at, changed = ids[keep], at[keep], True
+            if not len(ids):
+                break
+        if len(ids) < FEW:
+            break
+        if changed:
+            settle()
+            trace, drawn, changed = np.empty((DROP_EVERY + 1, len(ids)), np.int64), np.empty(len(ids), np.int64), False
+            rows = list(trace)
+        trace[0] = at
+        if done + DROP_EVERY > len(kinds):
+            kinds = step_kinds(2 * len(kinds))
+        for here, there, kind in zip(rows, rows[1:], kinds[done : done + DROP_EVERY].tolist()):
+            classes.take(here, out=drawn, mode="clip")
+            _ROWS[kind].take(drawn, out=drawn, mode="clip")
+            np.add(here, drawn, out=there)
+        block = done // DROP_EVERY
+        if block < span and cuts[block + 1] > cuts[block]:
+            part = slice(cuts[block], cuts[block + 1])
+            who = owner[part]
+            pointer[part] = trace[asked[part] - done, place[who]] - origin[who]
+        at = trace[DROP_EVERY].copy()
+        done += DROP_EVERY
+    if len(ids):  # too few for steps in common to pay
+        own = np.argsort(owner[cuts[min(done // DROP_EVERY, span)] :], kind="stable") + cuts[min(done // DROP_EVERY, span)]
+        listed = [_LISTS[k] for k in kinds.tolist()]
+
+        def alone(i: int, j: int, a: int, marks: np.ndarray) -> list[int]:
+            """Text i's pointers at the steps ``marks``, from pointer a at step j on."""
+            own_classes, out = classes[starts[i] : starts[i] + lengths[i] + 1].tolist(), []
+            for until in marks.tolist():
+                for row in listed[j:until]:
+                    a += row[own_classes[a]]
+                j = until
+                out.append(a)
+            return out
+
+        def marks_of(i: int) -> np.ndarray:
+            return own[slice(*np.searchsorted(owner[own], [i, i + 1]))]
+
+        for i, a in zip(ids.tolist(), (at - starts[ids]).tolist()):
+            mine = marks_of(i)
+            pointer[mine] = alone(i, done, a, asked[mine])
+            if (f := int(forks[i])) >= 0:
+                his = marks_of(f)
+                m = int((pointer[mine] < edge[f]).sum()) if np.array_equal(asked[mine], asked[his]) else 0
+                pointer[his[:m]] = pointer[mine[:m]]
+                pointer[his[m:]] = alone(f, int(asked[mine[m - 1]]) if m else done, int(pointer[mine[m - 1]]) if m else a, asked[his[m:]])
+    found = symbols_at(flat, starts[owner] + pointer, (starts + lengths)[owner])
+    out = np.empty(len(found), np.uint8)
+    out[order] = found
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
     return [out[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+def marks(codes: list[np.ndarray], samples: int = SAMPLES, twin: list[int] | None = None, shared: list[int] | None = None) -> list[str]:
+    """``<characters>:<hex of the sampled symbols in order of priority>``; for ``twin`` and ``shared`` see ``walk``."""
+    priorities = Priorities()
+    limits = [step_count(len(c)) for c in codes]
+    chosen = {n: priorities.first(n, samples) if n else np.zeros(0, np.int64) for n in sorted(set(limits))}
+    got = walk(codes, [chosen[n] for n in limits], twin, shared)
+    return [f"{len(c)}:{g.tobytes().hex()}" for c, g in zip(codes, got)]
+
+
 def fingerprints(texts: list[str], samples: int = SAMPLES) -> list[str]:
-    """``<characters>:<hex of the sampled symbols in order of priority>``."""
-    out: list[str | None] = [None] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    priorities, part, chars = Priorities(), [], 0
-
-    def flush() -> None:
-        for i, e in zip(part, walk([text_codes(texts[i]) for i in part])):
-            got = e[priorities.first(len(e), samples)] if len(e) else e
-            out[i] = f"{len(texts[i])}:{got.tobytes().hex()}"
-
-    for i in order:
-        part.append(i)
-        chars += len(texts[i]) + 1
-        if chars >= HELD_CHARS:
-            flush()
-            part, chars = [], 0
-    if part:
-        flush()
-    return out
+    return marks([text_codes(t) for t in texts], samples)
 
 
 _shared = Priorities()
@@ -181,15 +263,20 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
     last.  A single row is its own next.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = df.agg(F.coalesce(F.sum(F.length(F.col(text_col))), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-chars // RANGE_CHARS))  # a range doesn't grow with the corpus
     dealt, heads = with_next(df, parts, id_col, text_col)
     held = dealt.repartitionByRange(max(1, len(heads)), "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
     def emit(rows: list[tuple], following: tuple) -> pd.DataFrame:
         texts = [t for _, t in rows]
         changed = [edited(t, n) for t, n in zip(texts, [*texts[1:], following[1]])]
-        marks = fingerprints([*texts, following[1], *changed])
-        own, new = marks[: len(texts) + 1], marks[len(texts) + 1 :]
+        plain = [text_codes(t) for t in [*texts, following[1]]]
+        keep = [len(t) - len(t) // 3 for t in texts]
+        # an edited text is its own text up to the edit, and walks with it until then
+        spliced = [np.concatenate([c[:k], n[: len(c) - k]]) for c, n, k in zip(plain, plain[1:], keep)]
+        found = marks([*plain, *spliced], twin=[-1] * len(plain) + list(range(len(texts))), shared=[0] * len(plain) + keep)
+        own, new = found[: len(texts) + 1], found[len(texts) + 1 :]
         return pd.DataFrame(
             {
                 "doc_id": pd.array([d for d, _ in rows], "Int64"),
@@ -214,7 +301,7 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
                     continue
                 if p != part:
                     part, closed = p, False
-                if chars >= HELD_CHARS // 2:
+                if chars >= HELD_CHARS:
                     yield emit(rows, (doc, text))
                     rows, chars = [], 0
                 rows.append((doc, text))
