@@ -5,19 +5,24 @@ document's own counts left out: ``S(w | u) = c(u w) / c(u)`` if another document
 has ``u w``, else ``0.4 c(w) / N``; a word that no other document has counts as
 half a word.  A document's first word is scored as ``c(w) / N``.
 
-The count tables are partitioned by hash.  A task explodes its documents into
-n-grams, counts them per document and packs the rows of each hash partition as
-sorted, dictionary-coded, compressed columns, so that a count row moves as a few
-bytes:
-
-1. Word counts go to the partition of hash(w) and are summed.  Words that make
-   up at least ``HOT`` of the corpus - at most 1 / HOT of them - are known to
-   every task from here on.
-2. (u, w, document, counts) go to the partition of hash(u w), where they meet all
-   rows of that bigram; the rows of a hot bigram are dealt over several, with its
-   count for each.  Known bigrams ask for the unigram u, the others for w.
-3. Requests for words that aren't hot go to the partition of hash(w).
-4. Each document's parts are summed, in the partition of its id.
+The count tables are partitioned by hash:
+
+1. Documents are cut into chunks of about ``CHUNK_WORDS`` words, and each word
+   becomes a code of the chunk's dictionary.
+2. A chunk's distinct n-grams and their counts go to the partitions of their
+   hashes: sorted hashes, packed as differences.  So a frequent n-gram comes at
+   most once per chunk, however many rows hold it.
+3. A partition adds up the counts and answers each chunk, in the order in which
+   it asked, so that an answer is numbers only.
+4. A chunk's answers meet its documents, whose own counts are taken off.
+
+Ids that come in several rows are one document: their n-grams go on as rows of
+(id, n-gram) with the answers, and are summed by Spark before they are scored.
+
+What moves is in proportion to the corpus, and no group grows with it: a chunk
+and a partition of about ``PART_CHARS`` characters are of bounded size.  Chunks
+times partitions bound the number of packed blobs; where that is large, raise
+``chunk_words`` with the workers' memory.
 """
 
 from __future__ import annotations
@@ -34,9 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, partitions
 
-ALPHA, UNSEEN, HOT = 0.4, 0.5, 1 / 4000
-#: Words that a task gathers before it packs their rows.
-CHUNK_WORDS = 1_200_000
+ALPHA, UNSEEN = 0.4, 0.5
+#: Words of a chunk, and characters of text for each partition of the count tables.
+CHUNK_WORDS, PART_CHARS = 1_000_000, 16_000_000
 MEMO = 250_000
 NULL_ID = -(2**63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +49,7 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word) or 1
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -61,7 +66,7 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """Partitions as ranges of the hash, so that rows sorted by hash are sorted by partition."""
+    """Partitions as ranges of the hash, so that keys sorted by hash are sorted by partition."""
     return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -69,327 +74,210 @@ def pack(*columns: np.ndarray) -> bytes:
     """Columns, each with its length: byte planes of the values, or of their differences if they rise, compressed together."""
     parts = [bytes([len(columns)])]
     for c in columns:
-        x = c if c.dtype == np.int64 else c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)
+        x = c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False)
         rises = len(c) > 1 and bool((c[1:] >= c[:-1]).all())
         d = np.diff(x, prepend=np.int64(0)) if rises else x
-        parts += [np.array([len(c), rises], np.int64).tobytes(), np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
+        planes = d.view(np.uint8).reshape(-1, 8)
+        used = 8 if len(d) and d.min() < 0 else next((k for k in range(8, 0, -1) if planes[:, k - 1].any()), 0)
+        parts += [np.array([len(c), rises, used], np.int64).tobytes(), np.ascontiguousarray(planes[:, :used].T).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 1, []
     for _ in range(raw[0]):
-        n, rises = np.frombuffer(raw, np.int64, 2, at).tolist()
-        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8, at + 16).reshape(8, n).T).view(np.int64).ravel()
+        n, rises, used = np.frombuffer(raw, np.int64, 3, at).tolist()
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :used] = np.frombuffer(raw, np.uint8, n * used, at + 24).reshape(used, n).T
+        x = planes.view(np.int64).ravel()
         out.append(np.cumsum(x, dtype=np.int64) if rises else x)
-        at += 16 + 8 * n
+        at += 24 + used * n
     return out
 
 
-def local_codes(codes: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which of the codes below ``size`` occur, and the codes renumbered among those."""
-    seen = np.zeros(size, bool)
-    for c in codes:
-        seen[c] = True
-    number = np.cumsum(seen) - 1
-    return np.flatnonzero(seen), [number[c] for c in codes]
+def codes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, each row's place among them, and how often each comes."""
+    order = np.argsort(values, kind="stable")
+    rows = values[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows[1:] != rows[:-1]
+    at = np.flatnonzero(new)
+    code = np.empty(len(rows), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return rows[at], code, np.diff(np.append(at, len(rows)))
 
 
-def pack_rows(names: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], doc: np.ndarray, *rest: np.ndarray) -> bytes:
-    """Rows of word hashes, document and numbers; words and documents as codes of two dictionaries of their own."""
-    used, codes = local_codes(codes, len(names))
-    docs, (doc,) = local_codes([doc], len(ids))
-    return pack(names[used], ids[docs], *codes, doc, *rest)
-
-
-def unpack_rows(blob: bytes, words_: int) -> list[np.ndarray]:
-    known, ids, *columns = unpack(blob)
-    known = known.view(np.uint64)
-    return [*[known[c] for c in columns[:words_]], ids[columns[words_]], *columns[words_ + 1 :]]
-
-
-def gathered(blobs, words_: int) -> list[np.ndarray]:
-    parts = [unpack_rows(b, words_) for b in blobs]
-    return [np.concatenate(c) for c in zip(*parts)]
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a new row begins in sorted columns."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return np.flatnonzero(new)
-
-
-def totals(values: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows over ``columns``, sorted, and their summed values."""
-    if not len(values):
-        return list(columns), values
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    at = runs(*columns)
-    return [c[at] for c in columns], np.add.reduceat(values[order], at)
-
-
-def cuts(part: np.ndarray) -> list[tuple[int, int]]:
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
-    return [(int(a), int(b)) for a, b in zip(ends, ends[1:])]
-
-
-PACKED = "kind int, part int, blob binary"
-BIGRAM, WORD, ASK, SUMS, TOTAL = 0, 1, 2, 3, 4
-#: Partitions over which a hot bigram's rows are dealt.
-SALTS = 16
-
-
-class Known:
-    """Counts of the hot words or bigrams, by sorted hash."""
-
-    def __init__(self, rows: list[tuple[int, int]]) -> None:
-        self.hash = np.array(sorted(h for h, _ in rows), np.int64).view(np.uint64)
-        order = np.argsort(self.hash)
-        by = dict(rows)
-        self.hash = self.hash[order]
-        self.count = np.array([by[int(h)] for h in self.hash.view(np.int64)], np.int64)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are hot, and their counts (0 for the others)."""
-        if not len(self.hash):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        hot = self.hash[at] == h
-        return hot, np.where(hot, self.count[at], 0)
-
-
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document ids, words per document, word hashes) of about CHUNK_WORDS words at a time."""
-    docs, hashes, n = [], [], 0
-
-    def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(docs, np.int64), np.array([len(h) for h in hashes]), np.concatenate(hashes)
-
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            if s := words(text if isinstance(text, str) else None):
-                if len(_words) > MEMO:
-                    _words.clear()
-                docs.append(NULL_ID if pd.isna(doc) else int(doc))
-                hashes.append(np.array([_words[w] for w in s], np.uint64))
-                n += len(s)
-            if n >= CHUNK_WORDS:
-                yield close()
-                docs, hashes, n = [], [], 0
-    if n:
-        yield close()
-
-
-def count_words(parts: int):
-    """Word counts by partition, and the bigrams that are frequent in this task's words (kind SUMS).
-
-    A bigram with a share of HOT in the corpus has one of HOT / 2 in tasks that hold half of its rows or more.
-    """
+def tokenised(chunk_words: int):
+    """Chunks ``(n_words, several, blob)``: document ids, words of each, whether its id comes again, word hashes, codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, lengths, h in chunks(batches):
-            w, code, n = np.unique(h, return_inverse=True, return_counts=True)
-            p = part_of(w, parts)
-            out = [(WORD, int(p[a]), pack(w[a:b], n[a:b])) for a, b in cuts(p)]
-            often = (n >= len(h) * HOT / 2)[code]
-            both = np.flatnonzero(often & (histories(lengths, h) != 0))
-            both = both[often[both - 1]]
-            k, n = np.unique(pair_key(h[both - 1], h[both]), return_counts=True)
-            k, n = k[n >= len(h) * HOT / 2], n[n >= len(h) * HOT / 2]
-            p = part_of(k, parts)
-            out += [(SUMS, int(p[a]), pack(k[a:b], n[a:b])) for a, b in cuts(p)]
-            yield pd.DataFrame(out, columns=["kind", "part", "blob"])
+        docs, hashes, again, n = [], [], [], 0
+
+        def close() -> pd.DataFrame:
+            names, code, _ = codes_of(np.concatenate(hashes))
+            blob = pack(np.array(docs, np.int64), np.array([len(h) for h in hashes]), np.array(again, np.int64), names, code)
+            return pd.DataFrame({"n_words": [n], "several": [any(again)], "blob": [blob]})
+
+        for batch in batches:
+            for doc, text, several in zip(batch["doc_id"], batch["text"], batch["several"]):
+                if s := words(text if isinstance(text, str) else None):
+                    if len(_words) > MEMO:
+                        _words.clear()
+                    docs.append(NULL_ID if pd.isna(doc) else int(doc))
+                    again.append(bool(several))
+                    hashes.append(np.array([_words[w] for w in s], np.uint64))
+                    n += len(s)
+                if n >= chunk_words:
+                    yield close()
+                    docs, hashes, again, n = [], [], [], 0
+        if n:
+            yield close()
 
     return run
 
 
-def sum_words(group: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for kind in (WORD, SUMS):
-        opened = [unpack(b) for b in group["blob"][group["kind"] == kind]]
-        if opened:
-            (w,), n = totals(np.concatenate([c for _, c in opened]), np.concatenate([w for w, _ in opened]).view(np.uint64))
-            out.append((kind, int(group["part"].iat[0]), pack(w, n)))
-    return pd.DataFrame(out, columns=["kind", "part", "blob"])
-
+class Chunk:
+    """A chunk's words and bigrams as codes of sorted hashes."""
 
-def histories(lengths: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The word before each word; 0 before a document's first."""
-    u = np.concatenate([[np.uint64(0)], h[:-1]]).astype(np.uint64)
-    u[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
-    return u
+    def __init__(self, blob: bytes) -> None:
+        self.ids, self.lengths, self.again, names, self.w = unpack(blob)
+        self.names = names.view(np.uint64)
+        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.first = np.zeros(len(self.w), bool)
+        self.first[starts] = True
+        self.at = np.flatnonzero(~self.first)
+        self.pairs, self.pair, self.pair_counts = codes_of(pair_key(self.names[self.w[self.at - 1]], self.names[self.w[self.at]]))
+        self.word_counts = np.bincount(self.w, minlength=len(self.names))
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
 
 
-def explode(parts: int, pairs: Known):
-    """Bigram rows by partition.
-
-    The rows of a hot bigram are dealt by document over SALTS partitions, and each of those gets the task's count of it.
-    """
+def requests(parts: int):
+    """A chunk's distinct bigrams and words with their counts, packed by partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, lengths, h in chunks(batches):
-            names, code = np.unique(h, return_inverse=True)
-            size = len(names)
-            d = np.repeat(np.arange(len(docs)), lengths)
-            first = np.zeros(len(h), bool)
-            first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-            # own counts of each word in its document
-            _, back, times = np.unique(d * size + code, return_inverse=True, return_counts=True)
-            own = times[back]
-            del back
-            key = pair_key(histories(lengths, h), h)
-            p = part_of(key, parts)
-            hot = pairs.find(key)[0] & ~first
-            out = []
-            if hot.any():
-                k, n = np.unique(key[hot], return_counts=True)
-                at = part_of(k, parts)
-                for salt in range(min(SALTS, parts)):
-                    q = (at + salt) % parts
-                    out += [(TOTAL, int(x), pack(k[q == x], n[q == x])) for x in np.unique(q)]
-                p = np.where(hot, (p + d % min(SALTS, parts)) % parts, p)
-            u = np.where(first, size, np.concatenate([[0], code[:-1]]))
-            order = np.lexsort((code, u, p)) if parts * (size + 1) ** 2 >= 2**62 else np.argsort((p * (size + 1) + u) * (size + 1) + code, kind="stable")
-            p, u, w, d, own_w = p[order], u[order], code[order], d[order], own[order]
-            own_u = np.where(first, 0, np.concatenate([[0], own[:-1]]))[order]
-            at = runs(u, w, d)
-            c = np.diff(np.append(at, len(u)))
-            p, u, w, d, own_u, own_w = (x[at] for x in (p, u, w, d, own_u, own_w))
-            # a document's first word has no history: the hash 0
-            known = np.append(names, np.uint64(0))
-            for a, b in cuts(p):
-                out.append((BIGRAM, int(p[a]), pack_rows(known, docs, [u[a:b], w[a:b]], d[a:b], c[a:b], own_u[a:b], own_w[a:b])))
-            yield pd.DataFrame(out, columns=["kind", "part", "blob"])
+        for batch in batches:
+            for chunk, blob in zip(batch["chunk"], batch["blob"]):
+                c = Chunk(blob)
+                bounds = np.arange(parts + 1)
+                p = np.searchsorted(part_of(c.pairs, parts), bounds)
+                q = np.searchsorted(part_of(c.names, parts), bounds)
+                rows = [(chunk, k, pack(c.pairs[p[k] : p[k + 1]], c.pair_counts[p[k] : p[k + 1]], c.names[q[k] : q[k + 1]], c.word_counts[q[k] : q[k + 1]])) for k in range(parts) if p[k] < p[k + 1] or q[k] < q[k + 1]]
+                yield pd.DataFrame(rows, columns=["chunk", "part", "blob"])
 
     return run
 
 
-def match_bigrams(parts: int, hot: Known):
-    """One partition's bigrams: sums by document, and requests for words that aren't hot."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kind = group["kind"].to_numpy()
-        if not (kind == BIGRAM).any():
-            return pd.DataFrame({"kind": [], "part": [], "blob": []})
-        u, w, d, c, own_u, own_w = gathered(group["blob"][kind == BIGRAM], 2)
-        key = pair_key(u, w)
-        order = np.argsort(key, kind="stable")
-        at = runs(key[order])
-        everywhere = np.empty(len(key), np.int64)
-        everywhere[order] = np.repeat(np.add.reduceat(c[order], at), np.diff(np.append(at, len(key))))
-        del order
-        if (kind == TOTAL).any():
-            opened = [unpack(b) for b in group["blob"][kind == TOTAL]]
-            (k,), n = totals(np.concatenate([n for _, n in opened]), np.concatenate([k for k, _ in opened]).view(np.uint64))
-            dealt, n = Known(list(zip(k.view(np.int64).tolist(), n.tolist()))).find(key)
-            everywhere = np.where(dealt & (u != 0), n, everywhere)
-        others = everywhere - c
-        first = u == 0
-        known = (others > 0) & ~first
-        ids, doc = np.unique(d, return_inverse=True)
-        asked, own, coef = np.where(known, u, w), np.where(known, own_u, own_w), np.where(known, -c, c)
-        is_hot, total = hot.find(asked)
-        rest = total - own
-        log = np.where(known, c * np.log(np.maximum(others, 1)), np.where(first, 0.0, c * math.log(ALPHA)))
-        log += np.where(is_hot, coef * np.log(np.where(rest > 0, rest, UNSEEN)), 0.0)
-        add = lambda x: np.bincount(doc, x, len(ids))
-        whole = [add(x).astype(np.int64) for x in (np.where(known, c, 0), c, np.where(is_hot & ~known & (rest <= 0), c, 0))]
-        out = [(SUMS, int(group["part"].iat[0]), pack(ids, add(log).view(np.int64), *whole))]
-        a = np.flatnonzero(~is_hot)
-        if len(a):
-            asked, doc, own, coef = asked[a], doc[a], own[a], coef[a]
-            names, code = np.unique(asked, return_inverse=True)
-            by = code * len(ids) + doc  # sorted by the words' hashes, and so by partition
-            order = np.argsort(by, kind="stable")
-            at = runs(by[order])
-            coef = np.add.reduceat(coef[order], at)
-            row = order[at]
-            code, doc, own = code[row], doc[row], own[row]
-            keep = coef != 0
-            code, doc, own, coef = code[keep], doc[keep], own[keep], coef[keep]
-            p = part_of(names[code], parts)
-            out += [(ASK, int(p[i]), pack_rows(names, ids, [code[i:j]], doc[i:j], own[i:j], coef[i:j])) for i, j in cuts(p)]
-        return pd.DataFrame(out, columns=["kind", "part", "blob"])
-
-    return run
-
-
-def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return part_of(mix64(ids.view(np.uint64) + GOLD), parts)
-
-
-def match_words(parts: int):
-    """One partition's requests against its word counts: sums by document, packed by the document's partition."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kind = group["kind"].to_numpy()
-        sums = [unpack(b) for b in group["blob"][kind == SUMS]]
-        if (kind == ASK).any():
-            w, n = unpack(group["blob"][kind == WORD].iat[0])
-            aw, ad, own, coef = gathered(group["blob"][kind == ASK], 1)
-            others = n[np.searchsorted(w.view(np.uint64), aw)] - own
-            ids, doc = np.unique(ad, return_inverse=True)
-            log = np.bincount(doc, coef * np.log(np.where(others > 0, others, UNSEEN)), len(ids))
-            unseen = np.bincount(doc, np.where(others <= 0, coef, 0), len(ids)).astype(np.int64)
-            sums.append([ids, log.view(np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), unseen])
-        if not sums:
-            return pd.DataFrame({"part": [], "blob": []})
-        columns = summed(sums)
-        p = doc_part(columns[0], parts)
-        order = np.argsort(p, kind="stable")
-        p, columns = p[order], [c[order] for c in columns]
-        return pd.DataFrame([(int(p[i]), pack(*[c[i:j] for c in columns])) for i, j in cuts(p)], columns=["part", "blob"])
-
-    return run
-
-
-def summed(sums: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Document ids, sorted, and the sums of their logarithms (as bits) and counts."""
-    d, log, *counts = [np.concatenate(c) for c in zip(*sums)]
-    ids, doc = np.unique(d, return_inverse=True)
-    return [ids, np.bincount(doc, log.view(np.float64), len(ids)).view(np.int64), *[np.bincount(doc, c, len(ids)).astype(np.int64) for c in counts]]
-
-
-def sum_documents(group: pd.DataFrame) -> pd.DataFrame:
-    d, log, hits, n, unseen = summed([unpack(b) for b in group["blob"]])
-    return pd.DataFrame({"doc_id": d, "log": log.view(np.float64), "hits": hits, "words": n, "unseen": unseen})
-
-
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def answers(group: pd.DataFrame) -> pd.DataFrame:
+    """One partition of the count tables: to each chunk the sums over all chunks, in its own order."""
+    opened = [unpack(b) for b in group["blob"]]
+    totals = []
+    for k in (0, 2):
+        _, code, _ = codes_of(np.concatenate([o[k] for o in opened]).view(np.uint64))
+        sums = np.bincount(code, np.concatenate([o[k + 1] for o in opened])).astype(np.int64)  # exact up to 2 ** 53
+        totals.append(np.split(sums[code] if len(code) else code, np.cumsum([len(o[k]) for o in opened])[:-1]))
+    return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "blob": [pack(a, b) for a, b in zip(*totals)]})
+
+
+def answered(group: pd.DataFrame) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """A chunk with the corpus' counts of its bigrams and words."""
+    group = group.sort_values("part")
+    c = Chunk(group["blob"].iat[0])
+    replies = [unpack(b) for b in group["blob"].iloc[1:]]
+    return c, np.concatenate([np.zeros(0, np.int64), *[r[0] for r in replies]]), np.concatenate([r[1] for r in replies])
+
+
+def score_chunk(group: pd.DataFrame) -> pd.DataFrame:
+    """Sums of each document whose id comes in one row."""
+    c, pair_total, word_total = answered(group)
+    own = codes_of(c.doc * np.int64(len(c.names)) + c.w)
+    own_w = own[2][own[1]]
+    own = codes_of(c.doc[c.at] * np.int64(max(1, len(c.pairs))) + c.pair)
+    others = np.zeros(len(c.w), np.int64)
+    others[c.at] = pair_total[c.pair] - own[2][own[1]]
+    rest = word_total[c.w] - own_w
+    before = np.concatenate([[0], rest[:-1]])
+    known = others > 0
+    log = np.log(np.where(known, others, np.where(rest > 0, rest, UNSEEN)))
+    log -= np.where(known, np.log(np.maximum(before, 1)), np.where(c.first, 0.0, -math.log(ALPHA)))
+    add = lambda x: np.bincount(c.doc, x, len(c.ids))
+    hits, unseen = add(known).astype(np.int64), add(~known & (rest <= 0)).astype(np.int64)
+    keep = c.again == 0
+    return pd.DataFrame({"doc_id": c.ids, "log": add(log), "hits": hits, "words": c.lengths, "unseen": unseen})[keep]
+
+
+def bigram_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, u, w, c, and the corpus' counts of ``u w``, u and w) of documents whose ids come in several rows."""
+    c, pair_total, word_total = answered(group)
+    pair = np.full(len(c.w), -1, np.int64)
+    pair[c.at] = c.pair
+    u = np.where(c.first, -1, np.concatenate([[0], c.w[:-1]]))
+    held = c.again[c.doc] > 0
+    df = pd.DataFrame({"doc_id": c.ids[c.doc], "u": u, "w": c.w, "pair": pair})[held].groupby(["doc_id", "u", "w", "pair"], as_index=False).size()
+    u, w, pair = df["u"].to_numpy(), df["w"].to_numpy(), df["pair"].to_numpy()
+    name = c.names.view(np.int64)
+    inner = u >= 0
+    return pd.DataFrame(
+        {
+            "doc_id": df["doc_id"], "u": pd.arrays.IntegerArray(np.where(inner, name[u], 0), ~inner), "w": name[w], "c": df["size"],
+            "n_pair": np.where(inner, np.append(pair_total, 0)[pair], 0), "n_u": np.where(inner, word_total[u], 0), "n_w": word_total[w],
+        }
+    )
+
+
+def score_several(rows: DataFrame) -> DataFrame:
+    """Sums of documents of several rows, from their bigram rows; skewed ids and words are pre-aggregated."""
+    b = rows.groupBy("doc_id", "u", "w").agg(F.sum("c").alias("c"), F.first("n_pair").alias("n_pair"), F.first("n_u").alias("n_u"), F.first("n_w").alias("n_w"))
+    b = materialize(b)
+    own = b.groupBy("doc_id", "w").agg(F.sum("c").alias("own"))
+    d = b.join(own.withColumnRenamed("own", "own_w"), ["doc_id", "w"]).join(own.select("doc_id", F.col("w").alias("u"), F.col("own").alias("own_u")), ["doc_id", "u"], "left")
+    others, rest = F.col("n_pair") - F.col("c"), F.col("n_w") - F.col("own_w")
+    known = F.col("u").isNotNull() & (others > 0)
+    backed = F.log(F.when(rest > 0, rest).otherwise(F.lit(UNSEEN))) + F.when(F.col("u").isNull(), F.lit(0.0)).otherwise(F.lit(math.log(ALPHA)))
+    log = F.when(known, F.log(others) - F.log(F.greatest(F.col("n_u") - F.col("own_u"), F.lit(1)))).otherwise(backed)
+    c = F.col("c")
+    return d.groupBy("doc_id").agg(
+        F.sum(c * log).alias("log"), F.sum(F.when(known, c).otherwise(0)).alias("hits"), F.sum(c).alias("words"), F.sum(F.when(~known & (rest <= 0), c).otherwise(0)).alias("unseen")
+    )
+
+
+#: Repeated ids up to this many are broadcast to the texts; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_known_bigrams, n_unseen, logprob, score): a row per id whose text has words.
 
     ``logprob`` is the sum of natural logarithms, ``score`` its mean per word,
     both rounded to four digits.  Rows with one id are separate histories of one
-    document, but each id should come in one row: rows that different tasks read
-    count as elsewhere for each other's words.  Null ids count as one id.  Null
-    and blank texts have no row, nor has an empty table.  If there is no other
-    document, N counts as half a word.
+    document.  Null ids count as one id.  Null and blank texts have no row, nor
+    has an empty table.  If there is no other document, N counts as half a word.
     """
     spark = df.sparkSession
-    parts = partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = materialize(docs.mapInPandas(count_words(parts), PACKED).groupBy("part").applyInPandas(sum_words, PACKED))
-
-    def opened(least: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for w, n in map(unpack, batch["blob"]):
-                    yield pd.DataFrame({"h": w[n >= least], "n": n[n >= least]}) if least else pd.DataFrame({"h": [0], "n": [int(n.sum())]})
-
-        return run
-
-    total = counts.where(f"kind = {WORD}").select("blob").mapInPandas(opened(0), "h long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, math.ceil(total * HOT))
-    hot = Known([(r["h"], r["n"]) for r in counts.where(f"kind = {WORD}").select("blob").mapInPandas(opened(least), "h long, n long").collect()])  # at most 1 / HOT rows
-    often = counts.where(f"kind = {SUMS}").select("blob").mapInPandas(opened(max(1, least // 2)), "h long, n long")
-    pairs = Known([(r["h"], r["n"]) for r in often.collect()])  # at most 2 / HOT rows
-    bigrams = docs.mapInPandas(explode(parts, pairs), PACKED).groupBy("part").applyInPandas(match_bigrams(parts, hot), PACKED)
-    words_ = counts.where(f"kind = {WORD}")
-    sums = words_.union(bigrams).groupBy("part").applyInPandas(match_words(parts), "part int, blob binary")
-    by_doc = sums.groupBy("part").applyInPandas(sum_documents, "doc_id long, log double, hits long, words long, unseen long")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-chars // PART_CHARS))
+    ids = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    repeated = ids.count()
+    if repeated:
+        side = ids.withColumn("several", F.lit(True))
+        docs = docs.join(F.broadcast(side) if repeated <= BROADCAST_IDS else side, docs.doc_id.eqNullSafe(F.col("_again")), "left")
+        docs = docs.select("doc_id", "text", F.coalesce("several", F.lit(False)).alias("several"))
+    else:
+        docs = docs.withColumn("several", F.lit(False))
+    chunks = materialize(docs.mapInPandas(tokenised(chunk_words), "n_words long, several boolean, blob binary").withColumn("chunk", F.monotonically_increasing_id()))
+    total = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    packed = "chunk long, part int, blob binary"
+    counts = chunks.select("chunk", "blob").mapInPandas(requests(parts), packed).groupBy("part").applyInPandas(answers, packed)
+    schema = "doc_id long, log double, hits long, words long, unseen long"
+    both = chunks.select("chunk", F.lit(-1).alias("part"), "blob").union(counts)
+    if repeated:
+        both = materialize(both)
+    by_doc = both.groupBy("chunk").applyInPandas(score_chunk, schema)
+    if repeated:
+        held = both.join(chunks.where("several").select("chunk"), "chunk", "left_semi")
+        found = held.groupBy("chunk").applyInPandas(bigram_rows, "doc_id long, u long, w long, c long, n_pair long, n_u long, n_w long")
+        by_doc = by_doc.unionByName(score_several(found))
     rest = F.col("words") - F.col("hits")
     logprob = F.col("log") - rest * F.log(F.greatest(F.lit(total) - F.col("words"), F.lit(UNSEEN)))
     return by_doc.select(
