@@ -47,9 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def members(buckets: DataFrame) -> DataFrame:
-    """``(key, bucket)`` rows of buckets that hold more than one key, with the bucket's size and least key."""
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).where("size > 1")
-    return buckets.join(several, "bucket")
+    """``(key, bucket)`` rows of buckets that hold more than one key, with the bucket's size and least key.
+
+    Of buckets with the same members only that of the least band (the lowest five
+    bits) is kept: the others would offer the same pairs again.
+    """
+    same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub"), *same).where("size > 1")
+    band = F.struct(F.col("bucket").bitwiseAND(F.lit(31)), F.col("bucket").alias("bucket"))
+    kept = materialize(several.groupBy("size", "hub", "x0", "x1").agg(F.min(band).alias("b")).select(F.col("b.bucket").alias("bucket"), "size", "hub"))
+    # joined apart from any aggregation by bucket, so that a large bucket's rows can be split among tasks
+    return buckets.join(kept, "bucket")
 
 
 def pairs(a, b) -> tuple:
@@ -87,9 +95,10 @@ def block_pairs(rest: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray, np.
     common = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     sizes = common.select("bucket", "top", blocks(F.col("all") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many"))
+    sizes = materialize(sizes.where("few > 0"))
     is_top = F.col("label") == F.col("top.label")
     dealt = (
-        rest.join(sizes.where("few > 0"), "bucket")
+        rest.join(sizes, "bucket")
         .withColumn("block", F.when(is_top, F.col("few") + F.pmod(F.xxhash64("key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("key"), F.col("few"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_top, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
         .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *[c for c in rest.columns if c != "bucket"])
@@ -132,16 +141,16 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: C
     labels = components(edges)
 
     def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        marked = rows.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+        marked = materialize(rows.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
         still = marked.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
-        return marked.join(still, "bucket")
+        return marked.join(materialize(still), "bucket")
 
     rest = materialize(open_buckets(shared.select("bucket", "key"), labels))
     if rest.isEmpty():
         return labels
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).groupBy("key").agg(F.count("*").alias("degree"))
     ranked = rest.join(ends, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top"))
+    best = materialize(ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top")))
     star = rest.join(best, "bucket").where("label <> top.label").select(*pairs(F.col("key"), F.col("top.key"))).distinct().join(tried, ["a", "b"], "left_anti")
     edges = edges.union(materialize(verify(materialize(star))))
     labels = components(edges)

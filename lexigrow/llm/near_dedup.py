@@ -69,16 +69,23 @@ def _draw(h: np.ndarray, j) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    low = np.full(M, np.inf)
-    if 0 < len(h) <= 48:
-        reg, x = _draw(h[:, None], _J[None, :])
-        np.minimum.at(low, reg.ravel(), x.ravel())
-    elif len(h):
-        for j in range(M):
-            reg, x = _draw(h, j)
-            np.minimum.at(low, reg, x)
-            if j + 1 < M and _LO[j + 1] >= low.max():
+    return sketches_of([h])[0]
+
+
+def sketches_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers [sets, M]; the sets draw in lock step, and a set stops when no later draw can be its least."""
+    low = np.full((len(sets), M), np.inf)
+    sizes = np.array([len(s) for s in sets])
+    h, row = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+    for j in range(M):
+        reg, x = _draw(h, j)
+        np.minimum.at(low.ravel(), row * M + reg, x)
+        if j + 1 < M:
+            going = low.max(1) > _LO[j + 1]
+            if not (going & (sizes > 0)).any():
                 break
+            if not going[row].all():
+                h, row = h[going[row]], row[going[row]]
     with np.errstate(divide="ignore"):
         k = np.floor(1 - np.log(low) / np.log(BASE))
     return np.where(np.isfinite(k), np.clip(k + 1024, 0, LIMIT), 0).astype(">u2")
@@ -224,13 +231,24 @@ def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return name
 
 
+def held_together(sets: Iterator[tuple], shingles: int) -> list[tuple]:
+    """The next of the (id, set) pairs, until they hold so many shingles."""
+    out, n = [], 0
+    for pair in sets:
+        out.append(pair)
+        n += len(pair[1]) + 100
+        if n >= shingles:
+            break
+    return out
+
+
 def sketches(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                sets = [shingle_set(t if isinstance(t, str) else None, words) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
+            made = ((d, shingle_set(t if isinstance(t, str) else None, words)) for d, t in zip(batch["doc_id"].astype("Int64"), batch["text"]))
+            while part := held_together(made, 200_000):
+                ids, sets = zip(*part)
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "sketch": [s.tobytes() for s in sketches_of(sets)]})
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, key binary, n long, sketch binary")
 
