@@ -19,16 +19,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where none is named."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a folder only on one machine, where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrow-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexigrow-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: it survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    return forget(df.checkpoint(eager=True))
+
+
+def forget(df: DataFrame) -> DataFrame:
+    """The same rows without the estimates that a checkpoint takes over from its plan.
+
+    A join's estimated size is the product of its sides'; over rounds of joins
+    the numbers' digits double, until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:
