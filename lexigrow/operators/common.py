@@ -13,11 +13,26 @@ LABELS = ("positive", "negative", "neutral")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names."""
-    sc = df.sparkSession.sparkContext
+    """A reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a folder of its own only on one machine."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrow-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexigrow-"))
+    return forget(df.checkpoint(eager=True))
+
+
+def forget(df: DataFrame) -> DataFrame:
+    """The same rows without the estimates that a checkpoint takes over from its plan.
+
+    A join's estimated size is the product of its sides'; over rounds of joins
+    the numbers' digits double, until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
 def strongest_first(lexicon: DataFrame) -> DataFrame:
