@@ -30,8 +30,8 @@ def is_word(c: Column) -> Column:
 
 
 def is_emoticon(words: Column) -> Column:
-    """Every word is laughter or punctuation."""
-    return F.forall(words, lambda w: w.rlike(r"^(?:\p{Punct}+|x?d+|l+o+l+|(?:ha|he|hi)+h?)$"))
+    """Every word is made of laughter, the letters of smileys and punctuation."""
+    return F.forall(words, lambda w: w.rlike(r"(?i)^(?:ha|d|x|lol|\p{Punct})+$"))
 
 
 def informative(tag: Column) -> Column:
@@ -65,18 +65,28 @@ def ids_to_span(ids: Column, prefix: str = "word_") -> Column:
     return F.array_join(F.zip_with(firsts, lasts, lambda a, b: F.when(a == b, F.concat(p, a.cast("string"))).otherwise(F.concat(p, a.cast("string"), F.lit(".."), p, b.cast("string")))), ",")
 
 
+#: What bare feature values stand for.
+FEATURES = {
+    "case": ["nom", "gen", "dat", "acc"],
+    "gender": ["fem", "masc", "neut"],
+    "num": ["sg", "pl"],
+    "pers": ["1", "2", "3"],
+    "mood": ["ind", "imp", "subj"],
+    "tense": ["pres", "past"],
+}
+
+
 def features(c: Column) -> Column:
-    """``k=v|k=v`` to a map; bare values are typed by what they can be (old feature style)."""
-    kinds = {"case": "nom|gen|dat|acc", "gender": "masc|fem|neut", "number": "sg|pl", "person": "1|2|3", "mood": "ind|subj|imp", "tense": "pres|past"}
+    """``k=v|k=v`` to a map; bare values are lower-cased and named by what they can be, others stand for themselves with ``True``."""
 
     def entry(x: Column) -> Column:
-        kind = F.lit("other")
-        for name, values in kinds.items():
-            kind = F.when(x.rlike(f"^(?:{values})$"), F.lit(name)).otherwise(kind)
+        low = F.lower(x)
+        key = F.coalesce(*[F.when(low.isin(*values), F.lit(name)) for name, values in FEATURES.items()], low)
+        value = F.when(low.isin(*[v for values in FEATURES.values() for v in values]), low).otherwise(F.lit("True"))
         kv = F.split(x, "=", 2)
-        return F.when(x.contains("="), F.struct(kv[0].alias("key"), kv[1].alias("value"))).otherwise(F.struct(kind.alias("key"), x.alias("value")))
+        return F.when(x.contains("="), F.struct(kv[0].alias("key"), kv[1].alias("value"))).otherwise(F.struct(key.alias("key"), value.alias("value")))
 
-    parts = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\|"), lambda x: (x != "") & (x != "_"))
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: (x != "") & (x != "_"))
     # of entries with one key, the last counts
     entries = F.transform(parts, entry)
     last = F.filter(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.exists(F.slice(entries, e["i"] + 2, F.size(entries) + 1), lambda f: f["key"] == e["key"]))
@@ -84,7 +94,20 @@ def features(c: Column) -> Column:
 
 
 def features_string(m: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    """The inverse; an empty map is ``_``."""
+    return F.when(F.coalesce(F.size(m), F.lit(0)) <= 0, "_").otherwise(F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|"))
+
+
+def ascii_normalize(c: Column) -> Column:
+    """Trimmed, with A-Z alone lower-cased."""
+    return F.translate(F.trim(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def clean_translation(c: Column) -> Column:
+    """A dictionary's entry without bracketed notes, placeholder pronouns and a leading ``to``."""
+    notes = F.regexp_replace(c, r"\s*(?:\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|<[^>]*>)", "")
+    plain = F.regexp_replace(notes, r"\b(?:sb|sth|jd|jdn|jdm|jds|etw)\b\.?(?:/(?:sb|sth|jd|jdn|jdm|jds|etw)\b\.?)*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"^\s*to\s+", ""), r"\s{2,}", " "))
 
 
 #: One alternation, first match wins: addresses, emoticons, tags, numbers, words, dots, single marks.
@@ -117,5 +140,17 @@ def tokenize(c: Column) -> Column:
 
 
 def either(patterns: list[str]) -> str:
-    """Seed expressions as one alternation between blanks or the text's ends."""
-    return r"(?:^|\s)(?:" + "|".join(f"(?:{p})" for p in patterns) + r")(?:\s|$)"
+    """Seed expressions as one alternation between blanks or the text's ends; nothing matches none."""
+    return r"(?:^|\s)(?:" + "|".join(f"(?:{p})" for p in patterns) + r")(?:\s|$)" if patterns else r"(?!)"
+
+
+def offsets(text: Column, words: Column) -> Column:
+    """(word, start, end) of words that stand in ``text`` in order, each looked for after the one before."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+
+    def step(s: Column, w: Column) -> Column:
+        at = F.call_function("locate", w, text, s["at"])
+        entry = F.struct(w.alias("word"), (at - 1).alias("start"), (at - 1 + F.length(w)).alias("end"))
+        return F.struct((at + F.length(w)).alias("at"), F.concat(s["out"], F.array(entry)).alias("out"))
+
+    return F.aggregate(words, start, step, lambda s: s["out"])

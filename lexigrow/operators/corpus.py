@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MIN_COUNT, CONTEXT, TOP = 4, 5, 25
+#: Negators of glosses.
+NEGATORS = ("nicht", "keine", "kein", "keines", "keinem", "keinen")
 
 
 def tag_of(form: Column) -> Column:
@@ -36,6 +38,26 @@ def lemmatize(toks: DataFrame, form2lemma: DataFrame, stop: DataFrame | None = N
     return out
 
 
+def seed_match(patterns: dict[str, list[str]] | None, name: str) -> Column:
+    """Whether a seed expression of any class matches the column."""
+    every = [p for ps in (patterns or {}).values() for p in ps]
+    return F.coalesce(F.col(name).rlike(T.either(every)), F.lit(False)) if every else F.lit(False)
+
+
+def message_classes(words: DataFrame, seeds: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, class) of messages ``words(doc_id, term)``, distinct: the first of positive, negative and neutral that has a seed in it.
+
+    Expressions are searched in a message's sorted words, joined by blanks.
+    """
+    rank = F.min(F.when(F.col("polarity") == "positive", 0).when(F.col("polarity") == "negative", 1).when(F.col("polarity") == "neutral", 2))
+    found = words.join(seeds, "term").groupBy("doc_id").agg(rank.alias("c")).where("c IS NOT NULL")
+    if any((patterns or {}).values()):
+        text = words.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("text"))
+        hit = F.when(seed_match({"p": patterns.get("positive", [])}, "text"), 0).when(seed_match({"n": patterns.get("negative", [])}, "text"), 1)
+        found = found.unionByName(text.select("doc_id", hit.alias("c")).where("c IS NOT NULL")).groupBy("doc_id").agg(F.min("c").alias("c"))
+    return found.select("doc_id", F.when(F.col("c") == 0, "positive").when(F.col("c") == 1, "negative").otherwise("neutral").alias("class"))
+
+
 def sessionise(lines: DataFrame, boundary: Column, by: str, order: str) -> DataFrame:
     """Units cut at boundary rows: a running count per file."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -82,18 +104,20 @@ def prune(cooc: DataFrame, top: int = TOP) -> DataFrame:
     return dots.withColumn("r", rank).where(F.col("r") <= top).select("i", "j", F.log1p("w").alias("w"))
 
 
-def negation_scope(toks: DataFrame, negators: tuple[str, ...] = ("nicht", "not", "pas", "no")) -> DataFrame:
+def negation_scope(toks: DataFrame, negators: tuple[str, ...] = NEGATORS) -> DataFrame:
     """Weight -1 for every token after a negator of its sentence, else 1."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     hit = F.max(F.col("lemma").isin(*negators).cast("int")).over(w)
     return toks.withColumn("weight", F.when(hit == 1, -1).otherwise(1))
 
 
-def label_lines(docs: DataFrame, positive: list[str], negative: list[str], neutral: list[str]) -> DataFrame:
-    """1, 2 or 0 for the first class one of whose terms stands in the line, else ``_``."""
+def label_lines(docs: DataFrame, positive: list[str], negative: list[str], neutral: list[str], patterns: dict[str, list[str]] | None = None) -> DataFrame:
+    """1, 2 or 0 for the first class one of whose terms stands in the line, or whose expression matches it, else ``_``."""
     words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}+)"), F.lit(1)), T.normalize)
     has = lambda terms: F.arrays_overlap(words, F.array(*map(F.lit, terms)))
-    return docs.select("doc_id", F.when(has(positive), "1").when(has(negative), "2").when(has(neutral), "0").otherwise("_").alias("label"))
+    line = docs.withColumn("_line", T.normalize(F.coalesce("text", F.lit(""))))
+    of = lambda k: seed_match({k: (patterns or {}).get(k, [])}, "_line")
+    return line.select("doc_id", F.when(has(positive) | of("positive"), "1").when(has(negative) | of("negative"), "2").when(has(neutral), "0").otherwise("_").alias("label"))
 
 
 def tfidf(toks: DataFrame) -> DataFrame:

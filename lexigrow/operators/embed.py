@@ -92,17 +92,35 @@ def rotate(vectors: DataFrame, axes: np.ndarray, mean: np.ndarray) -> DataFrame:
     return vectors.withColumn("v", F.array(*[V.dot(F.col("v"), F.array(*map(F.lit, a.tolist()))) - F.lit(float(s)) for a, s in zip(axes, shift)]))
 
 
+def widest_axis(left: DataFrame, right: DataFrame) -> int:
+    """The dimension of greatest summed absolute difference over all pairs of two sides' vectors ``v``; 0 if a side is empty."""
+    pairs = grid(left.select("v"), right.select(F.col("v").alias("u")))
+    sums = pairs.select(F.posexplode(F.zip_with("v", "u", lambda x, y: F.abs(x - y))).alias("i", "d")).groupBy("i").agg(F.sum("d").alias("d"))
+    best = sums.agg(F.min_by("i", F.struct(-F.round("d", 9), "i"))).first()[0]
+    return int(best or 0)
+
+
 def pca_axis(vectors: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
-    """(id, polarity, score): on the axis that parts the classes most, the nearer class; ascending 1000 / distance from the middle."""
+    """(id, polarity, score): the class whose mean is nearest on the axis that parts positive from negative seeds most.
+
+    Scores are 1000 over the distances from the middles of the polarity and the
+    subjectivity axis, ascending: the surest first.  A class without seeds has
+    its mean at 0.
+    """
     turned = materialize(rotate(vectors.select("id", "v"), *pca(vectors, k)))
-    means = {r["polarity"]: np.array(r["v"]) for r in centroids(turned.join(seeds, "id"), "polarity").collect()}  # three rows
-    gap = means["positive"] - means["negative"]
-    axis = int(np.abs(gap).argmax())
-    middle = float((means["positive"][axis] + means["negative"][axis]) / 2)
-    x = (F.col("v")[axis] - middle) * float(np.sign(gap[axis]) or 1)
-    neutral = float(means["neutral"][axis] - middle) * float(np.sign(gap[axis]) or 1) if "neutral" in means else 0.0
-    out = turned.join(seeds, "id", "left_anti").withColumn("x", x).where(F.abs(F.col("x")) >= F.abs(F.col("x") - neutral) * 0.5)
-    return out.select("id", F.when(F.col("x") > 0, "positive").otherwise("negative").alias("polarity"), (1000 / (1 + F.abs("x"))).alias("score"))
+    marked = materialize(turned.join(seeds, "id"))
+    of = lambda *names: marked.where(F.col("polarity").isin(*names))
+    axis, side = widest_axis(of("positive"), of("negative")), widest_axis(of("positive", "negative"), of("neutral"))
+    held = centroids(marked, "polarity").unionByName(centroids(of("positive", "negative").select("id", "v", F.lit("subjective").alias("polarity")), "polarity"))
+    means = {r["polarity"]: r["v"] for r in held.collect()}  # four rows
+    mean = lambda name, i: float(means[name][i]) if name in means else 0.0
+    middle = (mean("positive", axis) + mean("negative", axis)) / 2
+    edge = (mean("subjective", side) + mean("neutral", side)) / 2
+    x, y = F.col("v")[axis], F.col("v")[side]
+    near = F.array(*[F.struct(F.round(F.abs(x - mean(c, axis)), 9).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(CLASSES)])
+    out = turned.join(seeds, "id", "left_anti").withColumn("k", F.array_min(near)["k"]).where("k < 2")
+    far = F.abs(x - middle) + F.abs(y - edge)
+    return out.select("id", F.when(F.col("k") == 0, "positive").otherwise("negative").alias("polarity"), (1000 / F.greatest(far, F.lit(1e-12))).alias("score")).orderBy("score", "id")
 
 
 def polarity_line(vectors: DataFrame, seeds: DataFrame) -> np.ndarray:
@@ -129,5 +147,14 @@ def least_squares(source: DataFrame, target: DataFrame) -> np.ndarray:
     return np.linalg.lstsq(xx, xy, rcond=None)[0]
 
 
+def train_vectors(docs: DataFrame, dims: int = 400, least: int = 4, window: int = 5, rounds: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:
+    """(id, word, v): skip-gram vectors of ``docs(words)``, rows of words; words rarer than ``least`` have none."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    model = Word2Vec(vectorSize=dims, minCount=least, windowSize=window, maxIter=rounds, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(docs)
+    return model.getVectors().select(F.xxhash64("word").alias("id"), "word", vector_to_array("vector").alias("v"))
+
+
 def with_words(found: DataFrame, words: DataFrame) -> DataFrame:
     return strongest_first(found.join(words.select("id", "word"), "id").select(F.col("word").alias("term"), "polarity", "score"))

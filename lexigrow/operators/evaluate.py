@@ -102,6 +102,25 @@ def overlap(a: DataFrame, b: DataFrame, scheme: str) -> DataFrame:
     return out.select("class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("t1", "o1", "t2", "o2")])
 
 
+def without_emoticons(spans: DataFrame, words: DataFrame) -> DataFrame:
+    """``spans(doc_id, class, ids)`` less those all of whose ``words(doc_id, id, word)`` are emoticons."""
+    one = spans.select("doc_id", "class", "ids", F.explode("ids").alias("id")).join(words, ["doc_id", "id"], "left")
+    kept = one.groupBy("doc_id", "class", "ids").agg(F.collect_list("word").alias("w")).where(~(T.is_emoticon(F.col("w")) & (F.size("w") == F.size("ids"))))
+    return kept.select("doc_id", "class", "ids")
+
+
+def overlap_by_file(a: DataFrame, b: DataFrame, sizes: DataFrame, scheme: str) -> DataFrame:
+    """(doc_id, class, t1, o1, t2, o2, kappa) per document; ``sizes(doc_id, n)`` are the documents' tokens."""
+    named = lambda x: x.select("doc_id", F.to_json(F.struct("doc_id", "class")).alias("class"), "ids")
+    keyed = overlap(named(a), named(b), scheme)
+    own = keyed.withColumn("doc_id", F.get_json_object("class", "$.doc_id").cast(dict(a.dtypes)["doc_id"])).withColumn("class", F.get_json_object("class", "$.class")).join(sizes, "doc_id")
+    n = F.col("n").cast("double")
+    c1, c2 = F.col("t1") / n, F.col("t2") / n
+    seen = (n - F.col("t1") + F.col("o1") - F.col("t2") + F.col("o2")) / n
+    chance = c1 * c2 + (1 - c1) * (1 - c2)
+    return own.withColumn("kappa", F.when((n > 0) & (chance < 1), (seen - chance) / (1 - chance)).otherwise(0.0)).drop("n")
+
+
 def kappa(counts: DataFrame, n: int) -> DataFrame:
     """Cohen's kappa of ``overlap`` counts among ``n`` tokens; 0 if chance agrees always or there are no tokens."""
     if not n:
@@ -167,3 +186,51 @@ def align_columns(df: DataFrame, a: str, b: str) -> DataFrame:
         return pd.Series([align(list(s), list(t)) if s is not None and t is not None else None for s, t in zip(x, y)])
 
     return df.withColumn("aligned", run(a, b))
+
+
+def cardinality_search(toks: DataFrame, lexicon: DataFrame, gold: DataFrame, sizes: list[int]) -> DataFrame:
+    """(size, macro_p, ..., micro_f1): the scores of the ``size`` strongest entries for each size, pooled over all documents.
+
+    Entries are matched once, each with its rank; a prefix of the lexicon is then
+    a filter on hits.
+    """
+    from pyspark.sql import Window
+
+    from .common import materialize
+
+    n = max(sizes)
+    best = lexicon.orderBy(F.abs("score").desc(), "term").limit(n)
+    ranked = materialize(best.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("score").desc(), "term"))))
+    spelled = ranked.select(T.normalize_string(F.col("term")).alias("s"), F.col("polarity").alias("class"), "rank").groupBy("s", "class").agg(F.min("rank").alias("rank"))
+    hits = materialize(match_ranked(toks, spelled))
+    out = None
+    for size in sizes:
+        one = pooled(tally(toks, hits.where(F.col("rank") <= size).drop("rank"), gold)).withColumn("size", F.lit(size))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def match_ranked(toks: DataFrame, spelled: DataFrame) -> DataFrame:
+    """``match`` with the rank of the entry: the least where several spell the same."""
+    # an entry of its own for each spelling and class, named by its rank
+    named = spelled.select(F.col("s").alias("term"), F.concat_ws("|", "class", F.col("rank").cast("string")).alias("polarity"))
+    parts = F.split("class", r"\|")
+    return match(toks, named).select("doc_id", "sent_id", "start", "end", parts[1].cast("int").alias("rank"), parts[0].alias("class"))
+
+
+def running_best(results: DataFrame, order: str = "size", value: str = "macro_f1") -> DataFrame:
+    """The row of the greatest ``value``, of equal ones the last in order."""
+    return results.agg(F.max_by(F.struct(*results.columns), F.struct(value, order)).alias("b")).select("b.*")
+
+
+def method_matrix(toks: DataFrame, gold: DataFrame, methods: dict, seed_sets: dict, sizes: list[int]) -> DataFrame:
+    """(method, seeds, size, ...): the best prefix of each method's lexicon from each seed set.
+
+    ``methods``: name to a function from seeds to a lexicon; ``seed_sets``: name to seeds.
+    """
+    out = None
+    for name, method in methods.items():
+        for label, seeds in seed_sets.items():
+            best = running_best(cardinality_search(toks, method(seeds), gold, sizes)).withColumn("method", F.lit(name)).withColumn("seeds", F.lit(label))
+            out = best if out is None else out.unionByName(best)
+    return out

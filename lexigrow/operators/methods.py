@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SEED_SCORE, argmax_abs, materialize, strongest_first, top
+from .corpus import message_classes, seed_match
 from .net import ANTONYM, SYNONYM, Net, prune_normalize, seed_nodes, signed_matrix, term_graph, transition
 
 THRESHOLD = 0.5
@@ -26,18 +27,20 @@ def _signed(v: Column) -> Column:
     return F.when(v > 0, "positive").otherwise("negative")
 
 
-def pmi(toks: DataFrame, seeds: DataFrame, n: int | None = None, least: int = 4) -> DataFrame:
+def pmi(toks: DataFrame, seeds: DataFrame, n: int | None = None, least: int = 4, patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """Pointwise association of words with messages that hold a seed.
 
     A message has the class of the first of positive, negative, neutral seeds
-    that it holds.  A term is subjective if its log ratio is over zero; its
+    that it holds, or whose expression (``patterns``) matches it.  A term is subjective if its log ratio is over zero; its
     polarity is that of the log ratio of positive to negative messages; its score
     their sum.  An empty ratio counts as 1.  Seeds come with the largest doubles.
     """
     words = toks.select("doc_id", F.col("lemma").alias("term")).distinct()
-    rank = F.min(F.when(F.col("polarity") == "positive", 0).when(F.col("polarity") == "negative", 1).when(F.col("polarity") == "neutral", 2))
-    messages = words.join(seeds, "term").groupBy("doc_id").agg(rank.alias("c")).where("c IS NOT NULL")
-    of = lambda k: F.count(F.when(F.col("c") == k, 1))
+    # computed once: the words of a message are counted by its class
+    words = materialize(words)
+    messages = materialize(message_classes(words, seeds, patterns))
+    names = ("positive", "negative", "neutral")
+    of = lambda k: F.count(F.when(F.col("class") == names[k], 1))
     totals = messages.agg(of(0).alias("np"), of(1).alias("nn"), of(2).alias("nu"))  # one row
     stat = words.join(messages, "doc_id").groupBy("term").agg(of(0).alias("p"), of(1).alias("n"), of(2).alias("u")).where(F.col("p") + F.col("n") + F.col("u") >= least)
     one = lambda x: F.when(x == 0, 1.0).otherwise(x)
@@ -177,9 +180,13 @@ def best_paths(cooc: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return best
 
 
-def path_lexicon(cooc: DataFrame, seeds: DataFrame, rounds: int = 20, n: int | None = None) -> DataFrame:
-    """Score = positive sum less beta times the negative, beta the ratio of both totals."""
+def path_lexicon(cooc: DataFrame, seeds: DataFrame, rounds: int = 20, n: int | None = None, patterns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Score = positive sum less beta times the negative, beta the ratio of both totals; words that an expression matches are seeds."""
     cooc = materialize(cooc)
+    if any((patterns or {}).values()):
+        words = cooc.select(F.col("i").alias("term")).distinct().join(seeds, "term", "left_anti")
+        hit = F.when(seed_match({"p": patterns.get("positive", [])}, "term"), "positive").when(seed_match({"n": patterns.get("negative", [])}, "term"), "negative")
+        seeds = materialize(seeds.unionByName(words.select("term", hit.alias("polarity")).where("polarity IS NOT NULL")))
     found = best_paths(cooc, seeds.where("polarity <> 'neutral'"), rounds).join(seeds.selectExpr("term AS seed", "polarity"), "seed")
     of = lambda k: F.sum(F.when(F.col("polarity") == k, F.col("best")).otherwise(0.0))
     s = materialize(found.groupBy("term").agg(of("positive").alias("p"), of("negative").alias("n")))
@@ -219,6 +226,14 @@ def intersection(*lexicons: DataFrame) -> DataFrame:
     return out
 
 
+def merge_three(first: DataFrame, second: DataFrame, third: DataFrame, intersect: bool = False) -> DataFrame:
+    """Union or intersection of three lexicons by class; neutral terms come from the first and the third, as the second has none."""
+    polar = [x.where("polarity <> 'neutral'") for x in (first, second, third)]
+    neutral = [x.where("polarity = 'neutral'") for x in (first, third)]
+    how = intersection if intersect else union
+    return how(*polar).unionByName(how(*neutral))
+
+
 def extend_by_lemma(common: DataFrame, forms: DataFrame) -> DataFrame:
     """The intersection and those of ``forms(term, lemma, polarity)`` whose lemma it has."""
     return common.select("term", "polarity").union(forms.join(common.selectExpr("term AS lemma", "polarity"), ["lemma", "polarity"], "left_semi").select("term", "polarity")).distinct()

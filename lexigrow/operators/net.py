@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ANTONYM = ("antonym", "has_antonym")
+ANTONYM = ("has_antonym", "antonym")
 SYNONYM = ("has_participle", "has_pertainym", "has_hyponym", "entails", "is_entailed_by")
 
 
@@ -60,7 +60,11 @@ def term_graph(net: Net, ext_rel: bool = True) -> DataFrame:
     if ext_rel:
         rel = net.con_rel.where(F.col("rel").isin(*SYNONYM))
         far = a.withColumnRenamed("synid", "from_syn").join(rel, "from_syn").join(b.withColumnRenamed("synid", "to_syn"), "to_syn").where("src <> dst OR src_pos <> dst_pos")
-        edges = edges.unionByName(far.select("src", "src_pos", "dst", "dst_pos"))
+        # targets of lexical relations stand for their forms, with the least of their parts of speech
+        target = net.lex_unit.join(net.synset, "synid").groupBy(F.col("lexid").alias("to_lex")).agg(F.min("pos").alias("dst_pos")).join(net.lex_form.selectExpr("lexid AS to_lex", "form AS dst"), "to_lex")
+        source = net.members().selectExpr("lexid AS from_lex", "form AS src", "pos AS src_pos")
+        lex = net.lex_rel.where(F.col("rel").isin(*SYNONYM)).join(source, "from_lex").join(target, "to_lex").where("src <> dst OR src_pos <> dst_pos")
+        edges = edges.unionByName(far.select("src", "src_pos", "dst", "dst_pos")).unionByName(lex.select("src", "src_pos", "dst", "dst_pos"))
     return edges.groupBy("src", "src_pos", "dst", "dst_pos").agg(F.count("*").alias("w"))
 
 
@@ -114,3 +118,24 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int | None = None) ->
         known = materialize(known.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth")))
         front = known.where(F.col("depth") == depth)
     return known
+
+
+def seed_values(*sets: tuple[DataFrame, float]) -> DataFrame:
+    """(form, pos, x) of several ``(nodes(form, pos), value)``: of a node in more than one the last counts."""
+    out = None
+    for k, (nodes, value) in enumerate(sets):
+        one = nodes.select("form", "pos", F.lit(float(value)).alias("x"), F.lit(k).alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("form", "pos").agg(F.max_by("x", "k").alias("x"))
+
+
+def drawing(net: Net) -> tuple[DataFrame, DataFrame]:
+    """(nodes(form, pos, x, y), edges(src, dst, kind)) for a picture: places by hash, kinds ``synonym``, ``antonym`` and ``other``."""
+    place = lambda k: F.pmod(F.xxhash64("form", "pos", F.lit(k)), F.lit(1_000_000)) / 1_000_000
+    nodes = net.terms().select("form", "pos", place(0).alias("x"), place(1).alias("y"))
+    kind = F.when(F.col("rel").isin(*SYNONYM), "synonym").when(F.col("rel").isin(*ANTONYM), "antonym").otherwise("other")
+    m = net.members().select("synid", "form").distinct()
+    con = net.con_rel.join(m.selectExpr("synid AS from_syn", "form AS src"), "from_syn").join(m.selectExpr("synid AS to_syn", "form AS dst"), "to_syn").select("src", "dst", kind.alias("kind"))
+    lex = net.lex_rel.join(net.lex_form.selectExpr("lexid AS from_lex", "form AS src"), "from_lex").join(net.lex_form.selectExpr("lexid AS to_lex", "form AS dst"), "to_lex").select("src", "dst", kind.alias("kind"))
+    mates = m.join(m.withColumnRenamed("form", "dst"), "synid").where("form < dst").select(F.col("form").alias("src"), "dst", F.lit("synonym").alias("kind"))
+    return nodes, con.unionByName(lex).unionByName(mates).distinct()
