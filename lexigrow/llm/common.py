@@ -30,9 +30,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: it survives lost executors."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return forget(df.checkpoint(eager=True))
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the cluster drop the shuffles and checkpoints that nothing refers to any more: it looks for them after a collection."""
+    spark._jvm.System.gc()
 
 
 def forget(df: DataFrame) -> DataFrame:

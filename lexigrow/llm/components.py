@@ -13,19 +13,18 @@ still join two components is looked at.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, release
 
 #: Members in a block of a bucket whose pairs one task compares.
 BLOCK = 512
 DOUBT, SURE = 1, 2
-#: Most repetitions of the last step; each takes other bits of the hashes.
-ROUNDS = 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(seen, labels.key == seen.a).select("key", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("key").alias("label"), F.col("label").alias("above"))
         after = materialize(near.join(up, "label").select("key", "was", F.least("label", "above").alias("label")))
-        labels = after.select("key", "label")
+        labels = forget(after.select("key", "label"))
         if after.where("was <> label").isEmpty():
             return labels
 
@@ -133,7 +132,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: C
     ``buckets(key, bucket)``; ``verify`` returns those of the candidate edges
     that hold; ``enrich(rest, round)`` adds what ``choose`` needs to tell which
     pairs of a block would join parts.  As long as one of the pairs that it was
-    sure of does not hold, the round is repeated.
+    sure of does not hold, the round is repeated, with other bits of the hashes.
     """
     shared = materialize(members(buckets))
     tried = materialize(shared.where("key <> hub").select(*pairs(F.col("key"), F.col("hub"))).distinct())
@@ -141,20 +140,24 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: C
     labels = components(edges)
 
     def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        marked = materialize(rows.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
+        marked = rows.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
         still = marked.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
         return marked.join(materialize(still), "bucket")
 
     rest = materialize(open_buckets(shared.select("bucket", "key"), labels))
     if rest.isEmpty():
         return labels
+    del shared
+    release(buckets.sparkSession)
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).groupBy("key").agg(F.count("*").alias("degree"))
     ranked = rest.join(ends, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = materialize(ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top")))
     star = rest.join(best, "bucket").where("label <> top.label").select(*pairs(F.col("key"), F.col("top.key"))).distinct().join(tried, ["a", "b"], "left_anti")
     edges = edges.union(materialize(verify(materialize(star))))
     labels = components(edges)
-    for turn in range(ROUNDS):
+    del best, ends, ranked, star, tried
+    for turn in count():
+        release(buckets.sparkSession)
         rest = materialize(open_buckets(rest.select("bucket", "key"), labels))
         if rest.isEmpty():
             return labels
@@ -166,4 +169,3 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: C
         labels = components(edges)
         if chosen.where("sure").join(held, ["a", "b"], "left_anti").isEmpty():
             return labels
-    raise RuntimeError(f"pairs that a block takes for links failed the check {ROUNDS} times")
