@@ -112,9 +112,12 @@ def mixed(df: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MA
     key = key.replace("md5(concat(", "md5(CAST(concat(")[:-1] + " AS BINARY))"
     plan = materialize(spark.sql(f"WITH {LEAF_SUPPLY.replace('FROM base', 'FROM {base}')}, {share_ctes(weights, share, epochs)}, {PLAN} SELECT * FROM plan", base=base))
     keyed = KEYED.format(KEY=key)
-    cut = spark.sql(f"WITH {keyed.replace('FROM base', 'FROM {base}').replace('JOIN plan', 'JOIN {plan}')}, {PREFIX_CTES} SELECT * FROM cutoff", base=base, plan=plan)
+    few = plan.count() <= BROADCAST_LEAVES
+    # the leaves go to the rows, so that only (leaf, hash range) deals the rows out
+    keyed = keyed.replace("SELECT s.domain", "SELECT /*+ BROADCAST(p) */ s.domain" if few else "SELECT s.domain")
+    cut = spark.sql(f"WITH {keyed.replace('FROM base', 'FROM {base}').replace('JOIN plan', 'JOIN {plan} p')}, {PREFIX_CTES} SELECT * FROM cutoff", base=base, plan=plan)
     leaves = materialize(plan.join(cut, list(LEVELS), "left").selectExpr("domain AS _d", "lang AS _l", "source AS _s", "epochs", "last_k"))
-    side = leaves.hint("broadcast") if leaves.count() <= BROADCAST_LEAVES else leaves
+    side = leaves.hint("broadcast") if few else leaves
     texts = spark.sql(
         "SELECT *, CASE WHEN substr(md5(CAST(coalesce(source, '') AS BINARY)), 1, 1) < '8' THEN 'web' ELSE 'curated' END AS domain, CAST(" + SPARK_TOKENS + " AS BIGINT) AS n_tokens FROM {docs}",
         docs=df.select(*[c for c in DOCUMENT_COLUMNS if c in df.columns]),
@@ -131,5 +134,5 @@ def mixing_query(df: DataFrame) -> DataFrame:
 
 
 def mixing_stage(df: DataFrame) -> DataFrame:
-    """The mix: ``documents`` with domain, n_tokens and copies."""
+    """The mix: ``documents`` with domain, n_tokens and copies; rows without words are in no mix, repeated rows stand or fall together."""
     return mixed(df)
