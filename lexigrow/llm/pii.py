@@ -30,7 +30,11 @@ from . import nn
 from .common import DOCUMENT_COLUMNS, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN, HIDDEN = 96, 64, 32, 16
+#: The longest added span; windows overlap by more, and reach as far from every digit and at sign.
+LONGEST = 80
+WINDOW, STRIDE, MARGIN, HIDDEN = 160, 160 - LONGEST - 2, LONGEST, 16
+#: Characters of a training window.
+TAUGHT = 96
 #: An added span's least mean tag marginal.
 CONFIDENCE = 0.9
 
@@ -146,7 +150,7 @@ def _distractor(rng: np.random.Generator) -> str:
 
 def labelled_windows(rng: np.random.Generator, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags [T, count] of windows with generated spans; tag 0 is outside."""
-    x, y = np.full((WINDOW, count), PAD, np.int16), np.zeros((WINDOW, count), np.int64)
+    x, y = np.full((TAUGHT, count), PAD, np.int16), np.zeros((TAUGHT, count), np.int64)
     for b in range(count):
         text, tags = _prose(rng, int(rng.integers(0, 40))), []
         tags = [0] * len(text)
@@ -161,8 +165,8 @@ def labelled_windows(rng: np.random.Generator, count: int) -> tuple[np.ndarray,
                 text += _distractor(rng)
             text += (" ", ". ", ", ", "\n")[rng.integers(4)] + _prose(rng, int(rng.integers(0, 30)))
             tags += [0] * (len(text) - len(tags))
-        at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-        text, tags = text[at : at + WINDOW], tags[at : at + WINDOW]
+        at = int(rng.integers(0, max(1, len(text) - TAUGHT + 1)))
+        text, tags = text[at : at + TAUGHT], tags[at : at + TAUGHT]
         x[: len(text), b], y[: len(tags), b] = symbols(text), tags
     return x, y
 
@@ -207,7 +211,7 @@ def windows(text: str) -> list[tuple[int, int]]:
 def plausible(kind: str, s: str) -> bool:
     digits = "".join(DIGITS.findall(s))
     if kind == "email":
-        return s.count("@") == 1 and "." in s.split("@")[1] and "\n" not in s and len(s) <= 80
+        return s.count("@") == 1 and "." in s.split("@")[1] and "\n" not in s and len(s) <= LONGEST
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and len(s) <= 24 and "." in s
@@ -260,7 +264,7 @@ def tagged_spans(p: dict[str, np.ndarray], texts: list[str], base: list[list[tup
             for u, v in zip(cuts, cuts[1:]):
                 k = int(tags[u])
                 if not k or (u == 0 and a > 0) or (v == n and b < len(texts[i])):
-                    continue  # outside, or cut by a window's edge: the neighbour that overlaps holds it whole
+                    continue  # outside, or cut by a window's edge: a neighbour holds it whole, as windows overlap by more than a span
                 kind = KINDS[k - 1]
                 m = CORE[kind].search(texts[i][a + u : a + v])
                 sure = float(marginal[u:v, s, k].mean())
