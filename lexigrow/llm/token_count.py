@@ -1,19 +1,22 @@
-"""Token counts by a SentencePiece model's own rules, without building the tokens.
-
-A BPE model merges the neighbours of best score, of equal scores the leftmost,
-until no two neighbours make a piece (``Merges``).  A unigram model takes the
-path of best score (``Counter``): an Aho-Corasick automaton enumerates all
-vocabulary pieces in a segment; dynamic programming carries, for each end
-position, the best score and its piece count.  Ties follow the tokenizer: pieces
-are offered by start position, then by length, and only a strictly better score
-replaces an earlier one.  There a character that no single-character piece
-covers costs the lowest score less ten.  In both it counts as its UTF-8 bytes
+"""Token counts without building the tokens: by a unigram model's best path and by a BPE model's merges.
+
+The best path (``Counter``): an Aho-Corasick automaton enumerates all vocabulary
+pieces in a segment; dynamic programming carries, for each end position, the
+best score and its piece count.  Ties follow the tokenizer: of the pieces that
+end at one place the one that starts first is offered first, and only a strictly
+better score replaces an earlier one.  A character that no single-character
+piece covers costs the lowest score less ten.
+
+The public vocabulary at hand belongs to a BPE model, whose own counts are
+another matter: it merges the neighbours of best score, of equal scores the
+leftmost, until no two neighbours make a piece (``Merges``).  So the operator
+gives both: the model's own count, and that of the same pieces and scores taken
+as a unigram model.  In both an uncovered character counts as its UTF-8 bytes
 (byte fallback).
 
 Pieces never hold a blank mark after another character, so a text falls into
 independent segments (blank marks, then other characters); each distinct segment
-is solved once per worker.  The vocabulary is a public one: pieces and scores of
-a SentencePiece model, never trained here.
+is solved once per worker.  Pieces and scores are never trained here.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Most distinct segments that a worker remembers.
 MEMO = 500_000
+#: Segments up to this long are merged without a heap.
+SHORT = 48
 
 
 def vocabulary(path: str = f"{TOKENIZERS}/{MODEL}") -> list[tuple[str, float]]:
@@ -56,28 +61,29 @@ class Counter:
         self.memo: dict[str, int] = {}
 
     def segment(self, s: str) -> int:
-        n = len(s)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = [False] * n
+        """Matches come by their ends, of one end the longest first: so ties go to the earliest start."""
+        n, unknown, never = len(s), self.unknown, float("-inf")
+        best, count = [0.0] + [never] * n, [0] * (n + 1)
+        at, single = 0, False
+
+        def alone(i: int) -> None:
+            """The character at i stands for its bytes."""
+            if best[i] + unknown > best[i + 1]:
+                best[i + 1], count[i + 1] = best[i] + unknown, count[i] + len(s[i].encode("utf-8", "surrogatepass"))
+
         for end, (length, score) in self.automaton.iter(s):
-            start = end - length + 1
-            ends[start].append((end + 1, score))
-            single[start] = single[start] or length == 1
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here, k = best[i], count[i]
-            if here is None:
-                continue
-            for end, score in sorted(ends[i]) if len(ends[i]) > 1 else ends[i]:
-                was = best[end]
-                if was is None or here + score > was:
-                    best[end], count[end] = here + score, k + 1
-            if not single[i]:
-                was = best[i + 1]
-                if was is None or here + self.unknown > was:
-                    best[i + 1], count[i + 1] = here + self.unknown, k + len(s[i].encode("utf-8", "surrogatepass"))
+            while at < end:
+                if not single:
+                    alone(at)
+                at, single = at + 1, False
+            found = best[end + 1 - length] + score
+            if found > best[end + 1]:
+                best[end + 1], count[end + 1] = found, count[end + 1 - length] + 1
+            single = single or length == 1
+        while at < n:
+            if not single:
+                alone(at)
+            at, single = at + 1, False
         return count[n]
 
     def count(self, text: str) -> int:
@@ -107,6 +113,23 @@ class Merges(Counter):
         self.memo: dict[str, int] = {}
 
     def segment(self, s: str) -> int:
+        return self.short(s) if len(s) <= SHORT else self.long(s)
+
+    def short(self, s: str) -> int:
+        """The pair of best score, of equal ones the leftmost, found anew after each merge."""
+        get, never, parts = self.scores.get, float("-inf"), list(s)
+        pairs = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while pairs and (top := max(pairs)) > never:
+            i = pairs.index(top)
+            piece = parts[i] = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + piece, never)
+            if i < len(pairs):
+                pairs[i] = get(piece + parts[i + 1], never)
+        return sum(1 if p in self.scores else len(p.encode("utf-8", "surrogatepass")) for p in parts)
+
+    def long(self, s: str) -> int:
         scores, n = self.scores, len(s)
         parts: list[str] = list(s)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -142,15 +165,33 @@ def is_bpe(path: str) -> bool:
     return model.trainer_spec.model_type == model.trainer_spec.BPE
 
 
+class Both(Counter):
+    """Counts of a BPE model and of the same pieces and scores taken as a unigram model, as one number."""
+
+    def __init__(self, vocab: list[tuple[str, float]], bpe: bool) -> None:
+        self.unigram, self.merges = Counter(vocab), Merges(vocab) if bpe else None
+        self.chained, self.memo = self.unigram.chained, {}
+
+    def segment(self, s: str) -> int:
+        best = self.unigram.segment(s)
+        return (best << 32) + (self.merges.segment(s) if self.merges else best)
+
+
 def token_counts(df: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, number of tokens.  Null and empty texts have none."""
+    """(id, n_tokens, n_unigram): one row per input row.
+
+    ``n_unigram`` is the best path's number of pieces by the unigram rules;
+    ``n_tokens`` is the count of the model's own ``encode``: for a BPE model that
+    of its merges, for a unigram model ``n_unigram`` again.  Null and empty texts
+    have none.  Ids may be null or repeated; rows are never merged.
+    """
     vocab = vocabulary(path)  # 32,000 pieces: a fixed size
-    kind = Merges if is_bpe(path) else Counter
+    bpe = is_bpe(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = kind(vocab)
+        counter = Both(vocab, bpe)
         for batch in batches:
-            counts = [counter.count(t) if isinstance(t, str) else 0 for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(counts, np.int64)})
+            counts = np.array([counter.count(t) if isinstance(t, str) else 0 for t in batch["text"]], np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts & 0xFFFFFFFF, "n_unigram": counts >> 32})
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {dict(df.dtypes)[id_col]}, n_tokens long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {dict(df.dtypes)[id_col]}, n_tokens long, n_unigram long")
