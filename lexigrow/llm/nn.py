@@ -38,18 +38,23 @@ def init_recurrent(rng: np.random.Generator, symbols: int, hidden: int, gates: i
     return p
 
 
+def softsign(x: np.ndarray) -> np.ndarray:
+    """Like tanh, from -1 to 1, at a fraction of the time."""
+    return x / (1 + np.abs(x))
+
+
 def gru_run(x: np.ndarray, xw: np.ndarray, hw: np.ndarray, keep: bool = False):
-    """States [T, B, H] over symbols [T, B]; with ``keep`` also what the backward pass needs."""
+    """States [T, B, H] over symbols [T, B]; with ``keep`` also what the backward pass needs.  All functions are softsigns."""
     steps, batch = x.shape
     size = hw.shape[0]
     h = np.zeros((batch, size), np.float32)
     out, saved = np.empty((steps, batch, size), np.float32), []
     for t in range(steps):
         a = xw[x[t]]
-        zr = sigmoid(a[:, : 2 * size] + h @ hw[:, : 2 * size])
+        zr = 0.5 * (softsign(a[:, : 2 * size] + h @ hw[:, : 2 * size]) + 1)
         z, r = zr[:, :size], zr[:, size:]
         rh = r * h
-        n = np.tanh(a[:, 2 * size :] + rh @ hw[:, 2 * size :])
+        n = softsign(a[:, 2 * size :] + rh @ hw[:, 2 * size :])
         if keep:
             saved.append((h, z, r, rh, n))
         h = n + z * (h - n)
@@ -57,16 +62,48 @@ def gru_run(x: np.ndarray, xw: np.ndarray, hw: np.ndarray, keep: bool = False):
     return (out, saved) if keep else out
 
 
+def gru_states(x: np.ndarray, xw: np.ndarray, hw: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """``gru_run`` with the batch last, [T, H, B]: the same numbers with less overhead."""
+    size, batch = hw.shape[0], x.shape[1]
+    table = np.ascontiguousarray(xw.T)
+    gates_, new = np.ascontiguousarray(hw[:, : 2 * size].T), np.ascontiguousarray(hw[:, 2 * size :].T)
+    h = np.zeros((size, batch), np.float32)
+    out = np.empty((len(x), size, batch), np.float32) if out is None else out
+    a, zr, low = np.empty((3 * size, batch), np.float32), np.empty((2 * size, batch), np.float32), np.empty((2 * size, batch), np.float32)
+    n, rh = np.empty((size, batch), np.float32), np.empty((size, batch), np.float32)
+    one, half = np.float32(1), np.float32(0.5)
+    for t in range(len(x)):
+        np.take(table, x[t], axis=1, out=a, mode="clip")
+        np.matmul(gates_, h, out=zr)
+        np.add(zr, a[: 2 * size], out=zr)
+        np.abs(zr, out=low)
+        np.add(low, one, out=low)
+        np.divide(zr, low, out=zr)
+        np.multiply(zr, half, out=zr)
+        np.add(zr, half, out=zr)
+        np.multiply(zr[size:], h, out=rh)
+        np.matmul(new, rh, out=n)
+        np.add(n, a[2 * size :], out=n)
+        np.abs(n, out=rh)
+        np.add(rh, one, out=rh)
+        np.divide(n, rh, out=n)
+        np.subtract(h, n, out=h)
+        np.multiply(h, zr[:size], out=h)
+        np.add(h, n, out=h)
+        out[t] = h
+    return out
+
+
 def gru_back(x: np.ndarray, xw: np.ndarray, hw: np.ndarray, saved: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = hw.shape[0]
     dxw, dhw, dh = np.zeros_like(xw), np.zeros_like(hw), np.zeros_like(dout[0])
     for t in range(len(saved) - 1, -1, -1):
         h, z, r, rh, n = saved[t]
         dh = dh + dout[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
+        dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+        dz = dh * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
         drh = dn @ hw[:, 2 * size :].T
-        dr = drh * h * r * (1 - r)
+        dr = drh * h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
         dzr = np.concatenate([dz, dr], 1)
         np.add.at(dxw, x[t], np.concatenate([dzr, dn], 1))
         dhw[:, : 2 * size] += h.T @ dzr
