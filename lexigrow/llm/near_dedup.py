@@ -310,6 +310,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
 
 def dedup_query(df: DataFrame) -> DataFrame:
+    """Three words, 0.85, whole texts; nulls, blanks and repeated ids as in ``near_duplicates``."""
     return near_duplicates(df, words=3, percent=85)
 
 

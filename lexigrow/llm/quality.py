@@ -188,11 +188,12 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 
 def quality_query(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learned from the labels whose id's crc32 modulo 3 isn't 1, applied to all rows; null texts score as empty ones, repeated rows alike."""
     return score_quality(df, fit_quality(df, training_rows(labels)))
 
 
 def quality_stage(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` whose score is at least 0.5; columns as they were."""
+    """``documents`` whose score is at least 0.5; columns as they were.  Null texts are judged as empty ones, repeated rows alike."""
     model = fit_quality(df, training_rows(labels))
 
     @F.pandas_udf("double")
