@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import corpus, embed, evaluate, methods
+from ..operators import corpus, cuts, embed, evaluate, learned, methods, spin
 from ..operators import net as N
 from ..operators.common import argmax_abs, materialize
 from . import bindings as B
@@ -120,7 +120,7 @@ def cooc_prune_top25(s, d):
 
 @query
 def negation_scope(s, d):
-    return corpus.negation_scope(B.tokens(s, d)).groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    return corpus.negation_scope(B.tokens(s, d), ("nicht", "not", "pas", "no")).groupBy("doc_id").agg(F.sum("weight").alias("weight"))
 
 
 @query
@@ -305,6 +305,35 @@ def lexicon_ising(s, d):
     return r6(methods.spins(edges, pinned), "spin")
 
 
+@query
+def lexicon_spin(s, d):
+    """The whole spin method, swept until the energy stands still."""
+    return r6(spin.spin_lexicon(B.net(s, d), B.net_seeds(s, d)), "score")
+
+
+@query
+def lexicon_min_cut(s, d):
+    return cuts.cut_lexicon(B.net(s, d), B.net_seeds(s, d))
+
+
+# --- classifiers -------------------------------------------------------------------
+
+
+@query
+def lexicon_margin(s, d):
+    return methods.strongest_first(learned.margin_lexicon(kept(s, d), B.word_seeds(s)))
+
+
+@query
+def lexicon_bag(s, d):
+    return methods.strongest_first(learned.bag_lexicon(kept(s, d), B.word_seeds(s)))
+
+
+@query
+def lexicon_softmax(s, d):
+    return learned.softmax_lexicon(B.vectors(s, d), B.vector_seeds(s, d))
+
+
 # --- vectors ---------------------------------------------------------------------
 
 
@@ -409,6 +438,15 @@ def corpus_diff(s, d):
     return evaluate.corpus_diff(hits, gold)
 
 
+@query
+def cardinality_search(s, d):
+    """The best of the default lexicon's prefixes against the gold spans."""
+    toks = materialize(B.tokens(s, d))
+    lexicon = methods.default_lexicon(B.word_seeds(s))
+    out = evaluate.cardinality_search(toks, lexicon, materialize(B.gold(toks, B.read(s, d, "labels"))), [2, 4, 6, 8])
+    return r6(evaluate.running_best(out), "macro_p", "macro_r", "macro_f1", "micro_p", "micro_r", "micro_f1")
+
+
 def _agreement(scheme: str) -> Query:
     def run(s, d):
         toks = materialize(B.tokens(s, d))
@@ -455,9 +493,9 @@ def lookup_default(s, d):
 
 @query
 def anti_enrich(s, d):
-    """Customers without orders, and not in the first nation, with their nation's name."""
+    """Customers without urgent orders, and not in the first nation, with their nation's name."""
     c = B.read(s, d, "customer").select("c_custkey", "c_nationkey")
-    rest = c.join(B.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").where("c_nationkey <> 0")
+    rest = c.join(B.read(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").where("c_nationkey <> 0")
     return rest.join(B.read(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left").select("c_custkey", "n_name")
 
 

@@ -199,7 +199,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form, pos ORDER B
     "ids_to_span": f"WITH {SPANS} SELECT l_orderkey, string_agg('word_' || a || CASE WHEN b > a THEN '..word_' || b ELSE '' END, ',' ORDER BY a) AS span FROM r GROUP BY l_orderkey",
     "span_to_ids": "SELECT DISTINCT l_orderkey, CAST(l_linenumber AS INT) AS id FROM lineitem",
     "lookup_default": "SELECT o_orderkey, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END AS class FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
-    "anti_enrich": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_enrich": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "positional_zip": "SELECT * FROM (SELECT s_nationkey AS nation, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS r, s_suppkey FROM supplier) JOIN (SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS r, c_custkey FROM customer) USING (nation, r)",
     "sample_vectors": "SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings WHERE vec_id % 10 <> 0 ORDER BY h, vec_id LIMIT 100",
 }

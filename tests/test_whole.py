@@ -5,7 +5,6 @@ import inspect
 import numpy as np
 import pytest
 
-from lexigrow.llm import chat, fingerprint, token_count
 from lexigrow.operators import corpus, embed, evaluate, methods
 from lexigrow.plans import catalogue
 
@@ -34,34 +33,6 @@ def test_alignment_in_blocks_is_the_same():
         assert evaluate.align(a, b, held=1) == evaluate.align(a, b, held=20) == evaluate.align(a, b)
 
 
-def test_token_counts_are_the_models_own(spark):
-    import sentencepiece
-
-    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  a   b ", "▁x<0x0A>\n\U0001f600é中文", "x" * 20_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df).collect()}
-    own = sentencepiece.SentencePieceProcessor(model_file=f"{token_count.TOKENIZERS}/{token_count.MODEL}")
-    assert got == {i: len(own.encode(t)) for i, t in enumerate(texts)}
-
-
-def test_near_pairs_misses_none(spark):
-    rng = np.random.default_rng(11)
-    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
-    texts = []
-    for i in range(45):
-        n = int(rng.integers(9, 40)) if i % 3 == 0 else int(rng.integers(100, 400))
-        a = rng.choice(letters, n).tolist()
-        b = list(a)
-        for _ in range(int(n * (0.03, 0.06, 0.09, 0.1)[i % 4])):
-            at = int(rng.integers(0, len(b)))
-            b[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
-        texts += ["".join(a), "".join(b)]
-    _, links = fingerprint.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    want = {(i, j) for j in range(len(texts)) for i in range(j) if texts[i] != texts[j] and fingerprint.edit_similarity(texts[i], texts[j], 0.9) >= 0.9}
-    assert len(want) > 30
-    assert {(r["a"], r["b"]) for r in links.collect()} == want
-
-
 @pytest.mark.parametrize(
     "name, home, method, cuts",
     [
@@ -90,13 +61,3 @@ def test_iterative_queries_run_in_full(spark, monkeypatch, name, home, method, c
     with pytest.raises(Called) as got:
         catalogue.queries()[name](spark, SF)
     assert got.value.args[0] == cuts
-
-
-def test_chat_renders_true_prefixes(spark):
-    def counted(turns):  # numbers its turns, and the 20th rewrites the first
-        return "".join(f"{i}{'!' if i == 0 and len(turns) >= 20 else ':'}{r}={t};" for i, (r, t) in enumerate(turns))
-
-    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(25)], "conv_id long, turn long, role string, text string")
-    rows = chat.formatted_turns(df, counted).orderBy("position").collect()
-    assert [r["rewrites_history"] for r in rows] == [k == 19 for k in range(25)]
-    assert [r["span"] for r in rows if r["position"] not in (0, 19)] == [f"{k}:user=t{k};" for k in range(25) if k not in (0, 19)]
