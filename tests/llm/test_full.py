@@ -83,7 +83,7 @@ def test_repeated_ids_are_one_document(spark, chunk):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in lm_score.lm_scores(df, chunk_words=chunk).collect()}
     want = brute_scores(rows)
-    assert got.keys() == want.keys() and got[1][1] == 2
+    assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=2e-4) for k in want)
 
 
