@@ -42,7 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(near.join(up, "label").select("key", "was", F.least("label", "above").alias("label")))
         labels = forget(after.select("key", "label"))
         if after.where("was <> label").isEmpty():
-            return labels
+            break
+    del both, seen, near, up, after
+    release(edges.sparkSession)
+    return labels
 
 
 def members(buckets: DataFrame) -> DataFrame:
