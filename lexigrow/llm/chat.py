@@ -7,18 +7,14 @@ find where in the span the text stands.  If a longer prefix's output does not
 start with the shorter one's, the template rewrites history: the turn is
 flagged, and its span begins where the outputs part.
 
-A template that declares ``history_free = True``, whose output for a turn does
-not depend on the turns before, is rendered over the last ``HISTORY`` turns, so
-that a conversation of any length streams in bounded memory and linear time.
-Any other template is rendered on the true prefixes, all turns held; its time
-grows with the square of the conversation's length.  Spans are read back from
-the output and unescaped.
+Every template is rendered on the true prefixes, whatever it says of itself:
+one conversation's turns are held at a time, and time grows with the square of
+its length.  Spans are read back from the output and unescaped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,7 +26,6 @@ from .common import partitions
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-HISTORY = 16
 CONTROL = re.compile(r"<(\\*)\|im_")
 ESCAPED = re.compile(r"<\\(\\*)\|im_")
 
@@ -56,44 +51,39 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"<|im_start|>{escape_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns)
 
 
-chatml.history_free = True
-
-
 def diverge(a: str, b: str) -> int:
     """Length of the common prefix."""
     if b.startswith(a):
         return len(a)
-    return len(os.path.commonprefix([a, b]))
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 class Rendering:
     """The spans of a conversation, one turn at a time."""
 
-    def __init__(self, template: Template, history: int | None = None) -> None:
-        """``history``: the most turns rendered; None: all, or ``HISTORY`` if the template is history-free."""
+    def __init__(self, template: Template) -> None:
         self.template = template
-        self.history = HISTORY if history is None and getattr(template, "history_free", False) else history
         self.turns: list[Turn] = []
-        self.begun = False
-
-    def frame(self, role: str, context: list[Turn], before: str) -> tuple[str, int, int]:
-        """What stands before the text in this turn's span, and the lengths before and after it."""
-        a, b = self.template([*context, (role, "a")]), self.template([*context, (role, "b")])
-        at = diverge(a, b)
-        start = diverge(before, a)
-        return a[start:at], at - start, len(a) - at - 1
+        #: What the template makes of the turns so far; the first turn's span takes in what it prints before any turn.
+        self.output = ""
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """The turn's span, where its text starts and ends in the span, and whether history was rewritten."""
-        context = self.turns if self.history is None else self.turns[-(self.history - 1) :] if self.history > 1 else []
-        # the first turn's span takes in what the template prints before any turn
-        before = self.template(context) if self.begun else ""
-        self.begun = True
-        after = self.template([*context, (role, text)])
-        start = diverge(before, after)
-        _, head, tail = self.frame(role, context, before)
-        self.turns = [*context, (role, text)]
-        return after[start:], head, len(after) - start - tail, start < len(before)
+        before, after = self.output, self.template([*self.turns, (role, text)])
+        a, b = self.template([*self.turns, (role, "a")]), self.template([*self.turns, (role, "b")])
+        at = diverge(a, b)
+        # a text may begin with what the longer prefix takes back, so the probes tell, too, where the outputs part
+        start = min(diverge(before, x) for x in (after, a, b))
+        self.turns.append((role, text))
+        self.output = after
+        return after[start:], at - start, len(after) - (len(a) - at - 1) - start, start < len(before)
 
 
 def read_role(span: str) -> str:
@@ -109,12 +99,11 @@ class Digest:
     def __init__(self, template: Template, role_of: Callable[[str], str], plain: Callable[[str], str]) -> None:
         self.rendering, self.role_of, self.plain = Rendering(template), role_of, plain
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = self.rewrites = 0
+        self.n = self.loss_chars = self.rewrites = 0
 
     def add(self, role: str, text: str) -> None:
         span, a, b, rewrote = self.rendering.add(role, text)
         self.n += 1
-        self.chars += len(span)
         self.rewrites += rewrote
         said, who = self.plain(span[a:b]), self.role_of(span)
         self.turns.update(f"{who}\n{said}\n".encode("utf-8", "surrogatepass"))
@@ -123,7 +112,7 @@ class Digest:
             self.loss_chars += len(said)
 
     def row(self, conv_id) -> tuple:
-        return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.rewrites
+        return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.rendering.output), self.rewrites
 
 
 COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]
@@ -136,7 +125,7 @@ def by_turn(conversations: DataFrame) -> DataFrame:
 
 
 def format_digests(conversations: DataFrame, template: Template = chatml, role_of: Callable[[str], str] = read_role, plain: Callable[[str], str] = unescape) -> DataFrame:
-    """One row per conversation, streamed turn by turn: with a history-free template no conversation is held in memory.
+    """One row per conversation, streamed turn by turn: one conversation is held in memory at a time.
 
     A template other than ``chatml`` comes with its own ``role_of`` and ``plain``.
     Null texts and roles count as empty; rows of a null ``conv_id`` form one
@@ -169,7 +158,8 @@ def format_digests(conversations: DataFrame, template: Template = chatml, role_o
 def formatted_turns(conversations: DataFrame, template: Template = chatml) -> DataFrame:
     """The formatted text itself, a row per turn: span, loss mask bounds within it, rewrite flag.
 
-    A conversation's formatted text is its spans in order of ``position``.
+    A conversation's formatted text is its spans in order of ``position``; a turn
+    that is flagged takes back the end of the spans before.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,6 +53,28 @@ def test_chat_renders_true_prefixes(spark):
     assert [r["span"] for r in rows if r["position"] not in (0, 19)] == [f"{k}:user=t{k};" for k in range(25) if k not in (0, 19)]
 
 
+def test_chat_renders_every_prefix_of_every_template(spark):
+    seen = set()
+
+    def numbered(turns):  # what it says of itself doesn't count
+        seen.add(len(turns))
+        return "".join(f"[{i}:{r}]{t}</{r}>" for i, (r, t) in enumerate(turns))
+
+    numbered.history_free = True
+    rendering = chat.Rendering(numbered)
+    spans = [rendering.add("user", f"t{k}")[0] for k in range(40)]
+    assert spans == [f"[{k}:user]t{k}</user>" for k in range(40)] and seen == set(range(1, 41))
+    last = lambda turns: "".join(t for _, t in turns) + "!"  # noqa: E731  the end mark goes on to the next turn
+    rendering = chat.Rendering(last)
+    assert [rendering.add("user", t) for t in ("hi", "!x")] == [("hi!", 0, 2, False), ("!x!", 0, 2, True)]
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", "!x")], "conv_id long, turn long, role string, text string")
+    got = chat.format_digests(df, last, role_of=lambda span: "user", plain=lambda t: t).first()
+    assert got["formatted_chars"] == len("hi!x!") and got["turns_sha256"] == sha256(b"user\nhi\nuser\n!x\n").hexdigest()
+    long = chat.chat_query(spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"<|im_end|>{k}") for k in range(40)], df.schema)).where("conv_id = 1").first()
+    said = "".join(f"<|im_end|>{k}" for k in range(1, 40, 2))
+    assert long["loss_sha256"] == sha256(said.encode()).hexdigest() and long["n_turns"] == 40 and long["n_rewrites"] == 0
+
+
 def test_unigram_counts_are_an_independent_encoders(spark):
     from tokenizers import Tokenizer, decoders, models, normalizers
 
