@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: The columns of ``documents``; pipeline stages hand on exactly these.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,6 +35,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes in a file of a gathered checkpoint, as Spark's cache counts them: at most, and at least if there are cores to spare.
+FILE_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
+
+
+def gather(df: DataFrame) -> DataFrame:
+    """``materialize`` into as many files as the rows' bytes need, not one for each shuffle partition.
+
+    Hadoop's local file system without its native library starts two processes
+    for each file, and each is a copy of the executor until it has become
+    ``chmod``.  The rows are made in all the partitions, kept on the executors'
+    disks and only written by fewer tasks; a lost block is made again.
+    """
+    spark = df.sparkSession
+    df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held = df.select("*")
+        plan = held._jdf.queryExecution()
+        plan.toRdd().count()
+        size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+        files = max(1, -(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+        return materialize(held.coalesce(files))
+    finally:
+        df.unpersist()
+
+
 def release(spark: SparkSession) -> None:
     """Have the cluster drop the shuffles and checkpoints that nothing refers to any more: it looks for them after a collection."""
     spark._jvm.System.gc()

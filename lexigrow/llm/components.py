@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, release
+from .common import forget, gather, release
 
 #: Members in a block of a bucket whose pairs one task compares.
 BLOCK = 512
@@ -33,13 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then that label's own
     label, so long chains shorten geometrically.  Keys without edges are absent.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")))
+    both = gather(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = gather(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")))
     while True:
         seen = both.join(labels, both.b == labels.key).groupBy("a").agg(F.min("label").alias("m"))
         near = labels.join(seen, labels.key == seen.a).select("key", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("key").alias("label"), F.col("label").alias("above"))
-        after = materialize(near.join(up, "label").select("key", "was", F.least("label", "above").alias("label")))
+        after = gather(near.join(up, "label").select("key", "was", F.least("label", "above").alias("label")))
         labels = forget(after.select("key", "label"))
         if after.where("was <> label").isEmpty():
             break
@@ -57,7 +57,7 @@ def members(buckets: DataFrame) -> DataFrame:
     same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     several = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub"), *same).where("size > 1")
     band = F.struct(F.col("bucket").bitwiseAND(F.lit(31)), F.col("bucket").alias("bucket"))
-    kept = materialize(several.groupBy("size", "hub", "x0", "x1").agg(F.min(band).alias("b")).select(F.col("b.bucket").alias("bucket"), "size", "hub"))
+    kept = gather(several.groupBy("size", "hub", "x0", "x1").agg(F.min(band).alias("b")).select(F.col("b.bucket").alias("bucket"), "size", "hub"))
     # joined apart from any aggregation by bucket, so that a large bucket's rows can be split among tasks
     return buckets.join(kept, "bucket")
 
@@ -97,7 +97,7 @@ def block_pairs(rest: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray, np.
     common = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     sizes = common.select("bucket", "top", blocks(F.col("all") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many"))
-    sizes = materialize(sizes.where("few > 0"))
+    sizes = gather(sizes.where("few > 0"))
     is_top = F.col("label") == F.col("top.label")
     dealt = (
         rest.join(sizes, "bucket")
@@ -137,37 +137,37 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], enrich: C
     pairs of a block would join parts.  As long as one of the pairs that it was
     sure of does not hold, the round is repeated, with other bits of the hashes.
     """
-    shared = materialize(members(buckets))
-    tried = materialize(shared.where("key <> hub").select(*pairs(F.col("key"), F.col("hub"))).distinct())
-    edges = materialize(verify(tried))
+    shared = gather(members(buckets))
+    tried = gather(shared.where("key <> hub").select(*pairs(F.col("key"), F.col("hub"))).distinct())
+    edges = gather(verify(tried))
     labels = components(edges)
 
     def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
         marked = rows.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
         still = marked.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
-        return marked.join(materialize(still), "bucket")
+        return marked.join(gather(still), "bucket")
 
-    rest = materialize(open_buckets(shared.select("bucket", "key"), labels))
+    rest = gather(open_buckets(shared.select("bucket", "key"), labels))
     if rest.isEmpty():
         return labels
     del shared
     release(buckets.sparkSession)
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).groupBy("key").agg(F.count("*").alias("degree"))
     ranked = rest.join(ends, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = materialize(ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top")))
+    best = gather(ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.struct(-F.col("degree"), F.col("key"))).alias("top")))
     star = rest.join(best, "bucket").where("label <> top.label").select(*pairs(F.col("key"), F.col("top.key"))).distinct().join(tried, ["a", "b"], "left_anti")
-    edges = edges.union(materialize(verify(materialize(star))))
+    edges = edges.union(gather(verify(gather(star))))
     labels = components(edges)
     del best, ends, ranked, star, tried
     for turn in count():
         release(buckets.sparkSession)
-        rest = materialize(open_buckets(rest.select("bucket", "key"), labels))
+        rest = gather(open_buckets(rest.select("bucket", "key"), labels))
         if rest.isEmpty():
             return labels
-        chosen = materialize(block_pairs(enrich(rest, turn), choose))
+        chosen = gather(block_pairs(enrich(rest, turn), choose))
         if chosen.isEmpty():
             return labels
-        held = materialize(verify(chosen.select("a", "b")))
+        held = gather(verify(chosen.select("a", "b")))
         edges = edges.union(held)
         labels = components(edges)
         if chosen.where("sure").join(held, ["a", "b"], "left_anti").isEmpty():

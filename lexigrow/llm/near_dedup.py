@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, materialize, mix64
+from .common import DOCUMENT_COLUMNS, gather, materialize, mix64
 from .components import DOUBT, SURE, link, spanning
 
 M, BANDS, ROWS = 128, 25, 5
@@ -34,7 +34,8 @@ _LO = _GAMMA[:-1]
 _SPAN = 1 - np.exp(-RATE * (_GAMMA[1:] - _LO))
 #: Estimates this far below the threshold are over four standard deviations off.
 SLACK = 0.15
-MEMO = 400_000
+#: Words whose hashes a worker keeps from one text to the next.
+MEMO = 100_000
 
 
 class _Hashes(dict):
@@ -51,9 +52,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     split = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not split:
         return np.zeros(0, np.uint64)
+    h = np.array([_words[w] for w in split], np.uint64)
     if len(_words) > MEMO:
         _words.clear()
-    h = np.array([_words[w] for w in split], np.uint64)
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -268,7 +269,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(df, words, id_col, text_col))
-    nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = gather(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(F.xxhash64(i, F.expr("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))), 5).bitwiseOR(i))
     buckets = nodes.select("key", F.explode(bands).alias("bucket"))
 
@@ -281,7 +282,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
                     part = [shingle_set(t, words) for t in batch["text"].iloc[at : at + 500] if isinstance(t, str)]
                     yield pd.DataFrame({"key": [set_key(s) for s in part], "value": [fn(s) for s in part]})
 
-        reps = materialize(keys.join(nodes.select("key", "rep"), "key"))
+        reps = gather(keys.join(nodes.select("key", "rep"), "key"))
         ids = reps.select(F.col("rep").alias("r")).distinct()
         small = reps.count() <= BROADCAST_IDS
         held = texts.join(F.broadcast(ids) if small else ids, texts.doc_id.eqNullSafe(F.col("r")), "left_semi")
@@ -297,7 +298,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         return both.where(F.col("common") * 100 >= F.lit(percent) * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b")
 
     def enrich(rest: DataFrame, turn: int) -> DataFrame:
-        samples = materialize(of_keys(rest.select("key").distinct(), lambda s: sample(s, turn), "binary"))
+        samples = gather(of_keys(rest.select("key").distinct(), lambda s: sample(s, turn), "binary"))
         return rest.join(nodes.select("key", "sketch", "n"), "key").join(samples.withColumnRenamed("value", "sample"), "key")
 
     labels = link(buckets, verify, enrich, linking(percent / 100))

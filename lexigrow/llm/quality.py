@@ -198,6 +198,7 @@ def quality_stage(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(document_scores(model, [t if isinstance(t, str) else None for t in texts]), dtype="float64")
+        plain = [t if isinstance(t, str) else None for t in texts]
+        return pd.Series(np.concatenate([document_scores(model, plain[at : at + 500]) for at in range(0, max(1, len(plain)), 500)]), dtype="float64")
 
     return df.select(*DOCUMENT_COLUMNS).where(score("text") >= 0.5)
