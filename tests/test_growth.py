@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexigrow.operators import corpus
+from lexigrow.operators import corpus, methods
 
 
 def nodes(plan):
@@ -78,3 +78,24 @@ def test_an_id_that_is_there_twice_is_one_text(spark):
     twice = docs(spark, "Haus Baum").union(spark.createDataFrame([(0, "Haus Haus")], "doc_id long, text string"))
     got = {r["feature"]: r["df"] for r in corpus.text_feature_df(corpus.texts(twice), 1).where(~F.col("feature").contains(" ")).collect()}
     assert got == {"haus": 1, "baum": 1}
+
+
+def test_paths_of_all_seeds_share_a_row(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    edges = [(f"w{a}", f"w{b}", float(rng.integers(1, 9))) for a in range(12) for b in range(12) if a != b and rng.random() < 0.3]
+    frame = spark.createDataFrame(edges, "i string, j string, w double")
+    seeds = spark.createDataFrame([(f"w{k}", "positive") for k in range(5)] + [("absent", "negative")], "term string, polarity string")
+    want = {(f"w{k}", f"w{k}"): 0.0 for k in range(5)} | {("absent", "absent"): 0.0}
+    for _ in range(3):
+        step = dict(want)
+        for (s, t), x in want.items():
+            for a, b, w in edges:
+                if a == t:
+                    step[s, b] = max(step.get((s, b), 0.0), x + w)
+        want = step
+    counts = []
+    monkeypatch.setattr(methods, "materialize", lambda df, f=methods.materialize: [out := f(df), counts.append(out.count())][0])
+    got = {(r["seed"], r["term"]): r["best"] for r in methods.best_paths(frame, seeds, 3).collect()}
+    assert got == want and max(counts[2:]) <= 13
+    monkeypatch.setattr(methods, "SEEDS_AT_ONCE", 2)
+    assert {(r["seed"], r["term"]): r["best"] for r in methods.best_paths(frame, seeds, 3).collect()} == want
