@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexigrow.operators import corpus, methods
+from lexigrow.operators import corpus, methods, net
 
 
 def nodes(plan):
@@ -99,3 +99,28 @@ def test_paths_of_all_seeds_share_a_row(spark, monkeypatch):
     assert got == want and max(counts[2:]) <= 13
     monkeypatch.setattr(methods, "SEEDS_AT_ONCE", 2)
     assert {(r["seed"], r["term"]): r["best"] for r in methods.best_paths(frame, seeds, 3).collect()} == want
+
+
+def test_a_round_shuffles_no_cells(spark):
+    cells = spark.createDataFrame([(a, b, 0.5) for a in range(9) for b in range(9)], "i int, j int, w double")
+    out = methods.matvec(cells, spark.createDataFrame([(k, float(k)) for k in range(9)], "k int, x double"))
+    assert {r["k"]: r["x"] for r in out.collect()} == {k: 18.0 for k in range(9)}
+    assert len(exchanges(out)) == 1
+
+
+def test_pairs_of_terms_are_numbers_until_they_are_counted(spark, capsys):
+    net_ = net.Net(
+        spark.createDataFrame([(1, "adj"), (2, "adj")], "synid long, pos string"),
+        spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "lexid string, synid long"),
+        spark.createDataFrame([("a", "gut"), ("b", "fein"), ("c", "mies")], "lexid string, form string"),
+        spark.createDataFrame([(2, 1, "has_hyponym")], "from_syn long, to_syn long, rel string"),
+        spark.createDataFrame([("a", "c", "antonym")], "from_lex string, to_lex string, rel string"),
+    )
+    c = net.coded(net_)
+    k = {r["form"]: r["k"] for r in c.names.collect()}
+    assert [k[w] for w in ("fein", "gut", "mies")] == [0, 1, 2]
+    graph = net.coded_graph(c)
+    assert sorted(map(tuple, graph.collect())) == [(0, 1, 1), (1, 0, 1), (2, 0, 1), (2, 1, 1)]
+    assert sorted(map(tuple, net.coded_matrix(c).where("i <> j").collect())) == [(0, 1, 0.2), (0, 2, 0.2), (1, 0, 0.2), (1, 2, 0.2), (2, 1, -0.2)]
+    graph.explain()
+    assert not any("form" in line or "pos" in line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line and "key" in line)
