@@ -15,7 +15,7 @@ def normalize(c: Column) -> Column:
 
 def normalize_string(c: Column, ignore_case: bool = True) -> Column:
     """Hash, comma and full stop deleted, blank runs squeezed, trimmed."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(c, "[#,.]", ""), r"\s{2,}", " "))
+    out = F.trim(F.regexp_replace(F.translate(c, "#,.", ""), r"\s{2,}", " "))
     return F.lower(out) if ignore_case else out
 
 

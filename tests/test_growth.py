@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexigrow.operators import corpus, methods, net
+from lexigrow.operators import corpus, evaluate, methods, net
 
 
 def nodes(plan):
@@ -124,3 +124,21 @@ def test_pairs_of_terms_are_numbers_until_they_are_counted(spark, capsys):
     assert sorted(map(tuple, net.coded_matrix(c).where("i <> j").collect())) == [(0, 1, 0.2), (0, 2, 0.2), (1, 0, 0.2), (1, 2, 0.2), (2, 1, -0.2)]
     graph.explain()
     assert not any("form" in line or "pos" in line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line and "key" in line)
+
+
+def test_tallies_in_bits_are_the_plain_ones(spark):
+    words = ["the", "thing", "erble", "Weiß", "x", "thing"]
+    texts = docs(spark, " ".join(words * 25) + ". the thing. x", "erble the", None)
+    toks = corpus.tokens(texts)
+    lexicon = spark.createDataFrame([("the thing", "positive"), ("erble", "negative"), ("weiss", "positive"), ("thing", "negative")], "term string, polarity string")
+    hits = evaluate.match(toks, lexicon)
+    gold = spark.createDataFrame([(0, 0, k, k, c) for k, c in ((1, "negative"), (2, "positive"), (64, "negative"), (130, "positive"), (900, "positive"))] + [(2, 7, 0, 0, "positive")], "doc_id long, sent_id int, start int, end int, class string")
+    plain, bits = (sorted(map(tuple, evaluate.tally(toks, hits, gold, once).collect())) for once in (False, True))
+    assert plain == bits and sum(r[2] + r[3] for r in bits if r[1] == "neutral") + sum(r[4] for r in bits if r[1] == "neutral") >= toks.count() - gold.count()
+    # tokens are shuffled as a row for each 64 of a sentence, and only words of entries to be matched
+    evaluate.tally(toks, hits, gold, True).collect()
+    assert max(n for name, n in made(hits) if "Aggregate" in name or "Join" in name) < 2 * hits.count() + 200
+    sized = evaluate.tally_sizes(toks, hits.withColumn("rank", F.col("start") % 3), gold, [0, 1, 2], True)
+    for size in (0, 1, 2):
+        want = evaluate.tally(toks, hits.where(F.col("start") % 3 <= size), gold)
+        assert sorted(map(tuple, sized.where(F.col("size") == size).drop("size").collect())) == sorted(map(tuple, want.collect()))
